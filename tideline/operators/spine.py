@@ -57,3 +57,9 @@ def available_only_if(*flags: str) -> Column:
 def shift_date(df: DataFrame, days: int, name: str = "dt") -> DataFrame:
     """Book a source's day ``days`` later."""
     return df.withColumn(name, F.date_add(F.col(name), days))
+
+
+def calendar_of(df: DataFrame, day: str, name: str = "dt") -> DataFrame:
+    """Dense calendar from the first to the last day found in ``df``."""
+    bounds = df.agg(F.min(day).alias("a"), F.max(day).alias("b"))
+    return bounds.select(F.explode(F.sequence("a", "b")).alias(name))
