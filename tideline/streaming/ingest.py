@@ -61,9 +61,9 @@ def append_new(batch: DataFrame, sink: str) -> None:
     batch the earliest row of an id wins.
     """
     spark = batch.sparkSession
-    columns = [c for c in batch.columns if c != "event_id"]
+    columns = [c for c in batch.columns if c not in ("event_id", "received_at")]
     first = batch.groupBy("event_id").agg(F.min(F.struct("received_at", *columns)).alias("r"))
-    fresh = first.select("event_id", *[f"r.{c}" for c in columns])
+    fresh = first.select("event_id", "r.*")
     known = _held_ids(spark, sink, batch.schema)
     if known is not None:
         fresh = fresh.join(known, "event_id", "left_anti")
