@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STATES = ("new", "retaining", "resurrected", "sleeping", "churned")
@@ -14,17 +14,38 @@ SLEEP_AFTER = 8
 CHURN_AFTER = 30
 
 
-def prev_next_active(days: DataFrame, user: str) -> DataFrame:
-    """Previous and next active day of each user-day."""
-    per_user = Window.partitionBy(user).orderBy("dt")
+def prev_next_active(days: DataFrame, user: str, active: str | None = None) -> DataFrame:
+    """Previous and next active day of each user-day.
+
+    With ``active`` (a boolean column) rows of other days stay in place but are looked
+    through, so one relation can serve activity and purchases alike.
+    """
+    day = f"if({active}, dt, null)" if active else "dt"
+    over = f"ignore nulls over (partition by `{user}` order by dt)"
     return days.withColumns(
         {
-            "prev_active_dt": F.lag("dt").over(per_user),
-            "next_active_dt": F.lead("dt").over(per_user),
+            "prev_active_dt": F.expr(f"lag({day}) {over}"),
+            "next_active_dt": F.expr(f"lead({day}) {over}"),
         }
     )
 
 
+def activity_state(gap: Column, index: Column) -> Column:
+    """State of an active day from its distance to the previous one and the account age."""
+    return (
+        F.when(index == 0, "new")
+        .when(gap <= RETAIN_WITHIN, "retaining")
+        .when((gap > CHURN_AFTER) & (index >= CHURN_AFTER), "resurrected")
+        .otherwise("other_active")
+    )
+
+
+def absent_until(after: int) -> Column:
+    """Not back by day + ``after``; a return exactly on that day counts as back."""
+    back = F.col("next_active_dt") <= F.date_add("dt", after)
+    return ~F.coalesce(back, F.lit(False))
+
+
 def lifecycle_events(
     days: DataFrame,
     first: date,
@@ -33,7 +54,6 @@ def lifecycle_events(
     user: str,
     sleep: int = SLEEP_AFTER,
     churn: int = CHURN_AFTER,
-    rows: str | None = None,
 ) -> DataFrame:
     """State events ``dt, *dims, state, gap, n`` whose day lies on the axis.
 
@@ -42,22 +62,11 @@ def lifecycle_events(
     unless the user was back by then; both carry the dims of the last active day. All
     three come out of one pass over one window.
 
-    ``gap`` is the distance to the previous active day (NULL without one), which a
-    backfill needs to re-judge ``resurrected`` for a shorter history. ``rows`` names a
-    column with the number of source rows folded into the user-day; those beyond the
-    first follow a row of the same day, hence retain (or are new) at distance 0.
+    ``gap`` is the distance to the previous active day, NULL without one.
     """
     seen = prev_next_active(days, user)
     gap = F.datediff("dt", "prev_active_dt")
     index = F.col("day_index")
-    activity = (
-        F.when(index == 0, "new")
-        .when(gap <= RETAIN_WITHIN, "retaining")
-        .when((gap > CHURN_AFTER) & (index >= CHURN_AFTER), "resurrected")
-        .otherwise("other_active")
-    )
-    again = F.when(index == 0, "new").otherwise("retaining")
-    extra = F.col(rows) - 1 if rows else F.lit(0)
     none = F.lit(None).cast("int")
 
     def event(day, state, gap_days, n):
@@ -65,16 +74,13 @@ def lifecycle_events(
                         n.cast("bigint").alias("n"))
 
     def absent(after: int):
-        back = F.col("next_active_dt") <= F.date_add("dt", after)
-        return F.when(F.coalesce(back, F.lit(False)), 0).otherwise(1)
+        return F.when(absent_until(after), 1).otherwise(0)
 
     events = [
-        event(F.col("dt"), activity, gap, F.lit(1)),
+        event(F.col("dt"), activity_state(gap, index), gap, F.lit(1)),
         event(F.date_add("dt", sleep), F.lit("sleeping"), none, absent(sleep)),
         event(F.date_add("dt", churn), F.lit("churned"), none, absent(churn)),
     ]
-    if rows:
-        events.append(event(F.col("dt"), again, F.lit(0), extra))
     on_axis = F.filter(
         F.array(*events),
         lambda e: (e["n"] > 0) & e["dt"].between(F.lit(first), F.lit(last)),

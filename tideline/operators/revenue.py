@@ -82,88 +82,127 @@ def revenue_movements(
     streams: Mapping[str, str],
 ) -> DataFrame:
     """Same result as ``mrr_movements(rolling_revenue(...))`` summed per day and dims,
-    without a row per user and day; amounts still undivided (see ``per_day``).
-
-    A purchase enters a user's past window on the next day, moves to the window before
-    after 30 days and leaves after 60. Between such days nothing about the user
-    changes, so each change contributes the *difference* it makes to every movement,
-    once, and a running total over days recovers the daily sums. Rows per purchase:
-    at most three, instead of 61. Changes before the axis fold onto its first day.
+    without a row per user and day; amounts still undivided (see ``per_day``)."""
+    dims = list(dims)
+    reach = F.col("dt").between(F.lit(first - timedelta(days=2 * SPAN)), F.lit(last))
+    parts = F.array_compact(F.array(*revenue_changes(first, last, streams)))
+    changes = paying.where(reach).select(user, *dims, F.inline(parts))
+    steps = movement_steps(changes, dims, user, list(streams))
+    amounts = moved_names(list(streams))
+    once = [f"{s}_new" for s in streams]
+    daily = spell_out(steps, first, last, dims, running=["cover", *amounts], once=once)
+    return daily.where(F.col("cover") > 0).drop("cover")
+
+
+def moved_names(streams: Sequence[str]) -> list[str]:
+    return [f"{s}_{m}" for s in streams for m in MOVES if m != "new"]
+
+
+def revenue_changes(
+    first: date, last: date, streams: Mapping[str, str], pays: Column | None = None,
+    extra: Mapping[str, Column] | None = None,
+) -> list[Column]:
+    """What one paying day changes, and when: structs, NULL where not applicable.
+
+    A purchase enters the past window on the next day, moves to the window before after
+    30 days and leaves after 60. Changes before the axis fold onto its first day, later
+    ones than its last drop. ``extra`` adds (zero) fields of other measures.
     """
-    dims, names = list(dims), list(streams)
-    end = F.lit(last)
-    zero = F.lit(0).cast("decimal(18,2)")
+    nothing = F.lit(0).cast("decimal(19,2)")
+    young = (F.col("dt") >= F.lit(first)) & (F.col("day_index") < SPAN)
 
-    def change(after: int, past: int, prev: int, cover: int):
-        parts = []
-        for s, col in streams.items():
-            for window, sign in (("past", past), ("prev", prev)):
-                amount = F.col(col) if sign == 1 else -F.col(col) if sign == -1 else zero
-                parts.append(amount.cast("decimal(19,2)").alias(f"_{s}_{window}"))
+    def change(after: int, past: int = 0, prev: int = 0, cover: int = 0, new: bool = False) -> Column:
         day = F.greatest(F.date_add("dt", after), F.lit(first))
-        return F.struct(day.alias("_day"), F.lit(cover).alias("_cover"), *parts)
+        parts = []
+        for name, source in streams.items():
+            amount = F.coalesce(F.col(source), F.lit(0)).cast("decimal(19,2)")
+            signed = {1: amount, 0: nothing, -1: (-amount).cast("decimal(19,2)")}
+            parts += [
+                signed[past].alias(f"{name}_past"),
+                signed[prev].alias(f"{name}_prev"),
+                (F.when(young, amount).otherwise(nothing) if new else nothing).alias(f"{name}_new"),
+            ]
+        zeros = [c.alias(n) for n, c in (extra or {}).items()]
+        applies = day <= F.lit(last)
+        if pays is not None:
+            applies = pays & applies
+        return F.when(applies, F.struct(day.alias("_day"), F.lit(cover).alias("cover"), *parts, *zeros))
+
+    return [
+        change(0, cover=1, new=True),
+        change(1, past=1),
+        change(SPAN + 1, past=-1, prev=1),
+        change(2 * SPAN + 1, prev=-1, cover=-1),
+    ]
+
+
+def movement_steps(
+    changes: DataFrame, dims: Sequence[str], user: str, streams: Sequence[str]
+) -> DataFrame:
+    """Running windows per user and dims, as the *difference* each change makes.
 
-    changes = F.array(
-        change(0, 0, 0, 1),
-        change(1, 1, 0, 0),
-        change(SPAN + 1, -1, 1, 0),
-        change(2 * SPAN + 1, 0, -1, -1),
-    )
-    reach = F.col("dt").between(F.lit(first - timedelta(days=2 * SPAN)), end)
-    windows = [f"_{s}_{w}" for s in names for w in ("past", "prev")]
-    per_user = (
-        paying.where(reach)
-        .select(user, *dims, F.inline(F.filter(changes, lambda c: c["_day"] <= end)))
-        .groupBy(user, *dims, "_day")
-        .agg(F.sum("_cover").alias("_cover"), *[F.sum(w).alias(w) for w in windows])
-    )
+    Between two changes nothing about a user moves, so summing differences per day and
+    then over days gives the daily totals. Several changes on one day need no folding
+    first: their differences telescope. One row per change, at most four per purchase,
+    in place of one per user and axis day.
+    """
     timeline = Window.partitionBy(user, *dims).orderBy("_day")
     so_far = timeline.rowsBetween(Window.unboundedPreceding, 0)
-    state = per_user.select(
-        user, *dims, "_day", "_cover",
-        *[F.sum(w).over(so_far).cast("decimal(28,2)").alias(w) for w in windows],
+    windows = [f"{s}_{w}" for s in streams for w in ("past", "prev")]
+    kept = [c for c in changes.columns if c not in windows]
+    state = changes.select(
+        *kept, *[F.sum(w).over(so_far).cast("decimal(28,2)").alias(w) for w in windows]
     )
     moved = {
         f"{s}_{move}": amount
-        for s in names
-        for move, amount in _moved(F.col(f"_{s}_past"), F.col(f"_{s}_prev")).items()
+        for s in streams
+        for move, amount in _moved(F.col(f"{s}_past"), F.col(f"{s}_prev")).items()
     }
-    state = state.select(user, *dims, "_day", "_cover", *[a.alias(n) for n, a in moved.items()])
+    state = state.select(*kept, *[a.alias(n) for n, a in moved.items()])
     nothing = F.lit(0).cast("decimal(28,2)")
-    steps = state.select(
-        *dims, "_day", "_cover",
-        *[
-            (F.col(n) - F.coalesce(F.lag(n).over(timeline), nothing)).alias(n)
-            for n in moved
-        ],
-    )
-    today = paying.where(F.col("dt").between(F.lit(first), end) & (F.col("day_index") < SPAN)).select(
-        *dims, F.col("dt").alias("_day"), *[F.col(c).alias(f"{s}_new") for s, c in streams.items()]
+    return state.select(
+        *kept,
+        *[(F.col(n) - F.coalesce(F.lag(n).over(timeline), nothing)).alias(n) for n in moved],
     )
-    folded = (
-        steps.unionByName(today, allowMissingColumns=True)
-        .groupBy(*dims, "_day")
-        .agg(
-            F.coalesce(F.sum("_cover"), F.lit(0)).alias("_cover"),
-            *[F.coalesce(F.sum(n), nothing).alias(n) for n in moved],
-            *[F.coalesce(F.sum(f"{s}_new"), nothing).alias(f"{s}_new") for s in names],
-        )
+
+
+def spell_out(
+    steps: DataFrame, first: date, last: date, dims: Sequence[str], running: Sequence[str],
+    once: Sequence[str], latest: Sequence[str] = (),
+) -> DataFrame:
+    """Fold steps per day and dims, then one row per axis day and dims.
+
+    ``running`` columns accumulate over days, ``once`` columns count on their own day
+    only, ``latest`` ones carry their maximum forward. A dims tuple has a row on every
+    day of the axis, zeros before its first step. Only the folded rows, a few per day
+    and tuple, are sorted by day.
+    """
+    folded = steps.groupBy(*dims, "_day").agg(
+        *[F.sum(c).alias(c) for c in [*running, *once]], *[F.max(c).alias(c) for c in latest]
     )
     per_dim = Window.partitionBy(*dims).orderBy("_day")
-    running = per_dim.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = per_dim.rowsBetween(Window.unboundedPreceding, 0)
+    end = F.lit(last + timedelta(days=1))
+    opening = F.lag("_day").over(per_dim).isNull()
     totals = folded.select(
-        *dims, "_day",
-        F.coalesce(F.lead("_day").over(per_dim), F.lit(last + timedelta(days=1))).alias("_until"),
-        F.sum("_cover").over(running).alias("_cover"),
-        *[F.sum(n).over(running).alias(n) for n in moved],
-        *[f"{s}_new" for s in names],
-        F.col("_day").alias("_from"),
+        *dims,
+        F.col("_day").alias("_own"),
+        F.when(opening, F.lit(first)).otherwise(F.col("_day")).alias("_day"),
+        F.coalesce(F.lead("_day").over(per_dim), end).alias("_until"),
+        *[F.sum(c).over(so_far).alias(c) for c in running],
+        *once,
+        *[F.max(c).over(so_far).alias(c) for c in latest],
     )
-    daily = on_days(totals, first, last).where(F.col("_cover") > 0)
+    daily = on_days(totals, first, last)
+
+    def zero(c: str) -> Column:
+        return F.lit(0).cast(daily.schema[c].dataType)
+
+    begun, own = F.col("dt") >= F.col("_own"), F.col("dt") == F.col("_own")
     return daily.select(
-        "dt", *dims, *moved,
-        *[
-            F.when(F.col("dt") == F.col("_from"), F.col(f"{s}_new")).otherwise(nothing).alias(f"{s}_new")
-            for s in names
-        ],
+        "dt",
+        *dims,
+        *[F.when(begun, F.col(c)).otherwise(zero(c)).alias(c) for c in running],
+        *[F.when(own, F.col(c)).otherwise(zero(c)).alias(c) for c in once],
+        *[F.when(begun, F.col(c)).alias(c) for c in latest],
     )

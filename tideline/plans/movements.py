@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.buckets import home_region, level_tier
@@ -10,9 +10,9 @@ from tideline.functions.dates import day_index, in_days
 from tideline.operators.aggregates import merge_user_days
 from tideline.operators.joins import attach_user_dim
 from tideline.operators.levels import with_levels
-from tideline.operators.lifecycle import STATES, lifecycle_counts, lifecycle_events
-from tideline.operators.revenue import MOVES, per_day, revenue_movements
-from tideline.operators.spine import calendar, on_spine
+from tideline.operators.lifecycle import STATES
+from tideline.operators.movements import daily_movements, seen_by_run
+from tideline.operators.revenue import per_day
 from tideline.plans.kpi import Sources, settled_purchases
 from tideline.plans.runs import Runs
 from tideline.plans.slices import USER_DAY, level_days
@@ -35,20 +35,11 @@ def lifecycle_mrr_region(spark: SparkSession, src: Sources, runs: Runs) -> DataF
             F.sum(F.when(pays, sub)).cast("decimal(18,2)").alias("sub"),
         )
     )
-    events = lifecycle_events(days, first, last, ["region"], "user_id", rows="n_rows")
-    traffic = lifecycle_counts(_events_per_run(events, runs, 7, 67, ["region"]), ["run_date", "dt", "region"])
-    paying = days.where(F.col("can").isNotNull())
     streams = {"sub_revenue": "sub", "can_revenue": "can"}
-    moves = revenue_movements(paying, first, last, ["region"], "user_id", streams)
-    revenue = runs.per_run(per_day(moves, ["dt", "region"], list(streams)), back=7)
-    # Both sides hold a few rows per day: one more fold does the full outer merge.
-    keys = ["run_date", "dt", "region"]
-    amounts = [f"{s}_{m}" for s in streams for m in MOVES]
-    both = traffic.unionByName(revenue, allowMissingColumns=True)
-    return both.groupBy(*keys).agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in COUNTS],
-        *[F.coalesce(F.sum(a), F.lit(0.0)).alias(a) for a in amounts],
-    )
+    daily = daily_movements(
+        days, first, last, ["region"], "user_id", streams, axis=7, history=67, rows="n_rows"
+    ).where((F.col("n_events") > 0) | (F.col("cover") > 0))
+    return _shown(runs.per_run(daily, back=7), ["region"], list(streams))
 
 
 def lifecycle_mrr_tier(spark: SparkSession, src: Sources, runs: Runs) -> DataFrame:
@@ -73,32 +64,21 @@ def lifecycle_mrr_tier(spark: SparkSession, src: Sources, runs: Runs) -> DataFra
         src["users_data"],
         "userid",
     ).withColumn("day_index", day_index(F.col("signup_dt"), F.col("dt")))
-    dims = ["region", "tier"]
-    keys = ["run_date", "dt", *dims]
-
-    events = lifecycle_events(days.where("active"), first, last, dims, "userid")
-    traffic = lifecycle_counts(_events_per_run(events, runs, 8, 68, dims), keys)
-    paying = days.where(F.col("rev") > 0).withColumn("rev", F.col("rev").cast("decimal(18,2)"))
-    moves = revenue_movements(paying, first, last, dims, "userid", {"revenue": "rev"})
-    revenue = runs.per_run(per_day(moves, ["dt", *dims], ["revenue"]), back=8)
-
-    seen = runs.per_run(days.groupBy("dt", *dims).agg(F.count(F.lit(1)).alias("_n")), back=68)
-    tuples = seen.select("run_date", *dims).distinct()
-    axis = runs.per_run(calendar(spark, first, last), back=8)
-    spine = axis.join(tuples, "run_date")
-    amounts = [f"revenue_{m}" for m in MOVES]
-    wide = on_spine(spine, traffic, keys, fill={c: 0 for c in COUNTS})
-    wide = on_spine(wide, revenue, keys, fill={a: 0.0 for a in amounts})
-    return wide.select("run_date", "dt", "tier", "region", *COUNTS, *amounts)
-
+    paid = days.withColumn("rev", F.col("rev").cast("decimal(18,2)"))
+    daily = runs.per_run(
+        daily_movements(
+            paid, first, last, ["tier", "region"], "userid", {"revenue": "rev"},
+            axis=8, history=68, active="active",
+        ),
+        back=8,
+    )
+    # A run shows every tuple it saw within its history, on all of its days.
+    within_run = Window.partitionBy("run_date", "tier", "region")
+    known = F.max("last_seen").over(within_run) >= F.date_sub("run_date", 68)
+    daily = daily.withColumn("_known", known).where("_known")
+    return _shown(daily, ["tier", "region"], ["revenue"])
 
-def _events_per_run(events: DataFrame, runs: Runs, axis: int, history: int, dims: list[str]) -> DataFrame:
-    """State events of each run's axis, judged on that run's own history.
 
-    A run sees ``history`` days. A previous active day before that is unknown to it, so
-    the return does not count as resurrected there. Events fold before they repeat.
-    """
-    folded = events.groupBy("dt", *dims, "state", "gap").agg(F.sum("n").alias("n"))
-    unknown = F.date_sub("dt", F.col("gap")) < F.date_sub("run_date", history)
-    state = F.when((F.col("state") == "resurrected") & unknown, "other_active").otherwise(F.col("state"))
-    return runs.per_run(folded, back=axis).withColumn("state", state)
+def _shown(daily: DataFrame, dims: list[str], streams: list[str]) -> DataFrame:
+    keys = ["run_date", "dt", *dims, *COUNTS]
+    return per_day(seen_by_run(daily), keys, streams)
