@@ -76,7 +76,7 @@ def exact_percentiles(
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_band", F.signum("_v") * F.floor(F.log1p(F.abs("_v")) * 1000.0))
+        .withColumn("_band", (F.signum("_v") * F.floor(F.log1p(F.abs("_v")) * 1000.0)).cast("bigint"))
     )
     group = Window.partitionBy(*keys)
     ranks = F.array(*[F.lit(float(p)) for p in fractions])

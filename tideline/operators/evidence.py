@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 REPORT = (
@@ -11,6 +11,7 @@ REPORT = (
     "evidence: array<struct<query: string, column: string, value: string, row_metric: string>>>>, "
     "failed_metrics: array<string>>"
 )
+CELL_KEY = ["report_date", "query", "column", "value", "row_metric"]
 
 
 def parse_reports(documents: DataFrame, body: str = "body") -> DataFrame:
@@ -52,15 +53,23 @@ def judge_evidence(evidence: DataFrame, cells: DataFrame) -> DataFrame:
     it, those of a wide one hold the empty string. Cells fold to distinct keys first, so
     a match never multiplies a citation.
     """
-    key = ["report_date", "query", "column", "value", "row_metric"]
-    failed = cells.where(F.col("error").isNotNull()).select("report_date", "query").distinct()
-    good = cells.where(F.col("error").isNull()).join(failed, ["report_date", "query"], "left_anti")
-    known = good.select(*key).distinct().withColumn("found", F.lit(True))
-    return evidence.join(known, key, "left").withColumn(
+    return evidence.join(citable(cells), CELL_KEY, "left").withColumn(
         "matched", F.coalesce("found", F.lit(False))
     ).drop("found")
 
 
+def citable(cells: DataFrame) -> DataFrame:
+    """Distinct cell keys of results without an error, marked ``found``.
+
+    A day's result of one query is at most a row budget wide, so the window that looks
+    for an error row stays small.
+    """
+    result = Window.partitionBy("report_date", "query")
+    failed = F.bool_or(F.col("error").isNotNull()).over(result)
+    good = cells.withColumn("_failed", failed).where(~F.col("_failed"))
+    return good.select(*CELL_KEY).distinct().withColumn("found", F.lit(True))
+
+
 def evidence_failures(evidence: DataFrame, cells: DataFrame) -> DataFrame:
     """The citations without a matching cell."""
     return judge_evidence(evidence, cells).where(~F.col("matched")).drop("matched")
@@ -79,19 +88,25 @@ def reconcile(parsed: DataFrame, cells: DataFrame) -> DataFrame:
     anomalies = F.coalesce(F.col("report.anomalies"), F.array().cast(_anomalies(parsed)))
     shape = parsed.select(
         "run_id",
-        F.col("report").isNotNull().alias("parsed"),
-        F.coalesce(F.length(F.trim("report.summary")) > 0, F.lit(False)).alias("summarised"),
-        F.size(anomalies).cast("bigint").alias("anomalies"),
-        F.size(
-            F.filter(anomalies, lambda a: blank(a["investigation_plan"]) | blank(a["evidence"]))
-        ).cast("bigint").alias("incomplete"),
-    )
-    judged = judge_evidence(explode_evidence(parsed), cells).groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("cited"), F.count(F.when(F.col("matched"), 1)).alias("matched")
+        "report_date",
+        F.struct(
+            F.col("report").isNotNull().alias("parsed"),
+            F.coalesce(F.length(F.trim("report.summary")) > 0, F.lit(False)).alias("summarised"),
+            F.size(anomalies).cast("bigint").alias("anomalies"),
+            F.size(
+                F.filter(anomalies, lambda a: blank(a["investigation_plan"]) | blank(a["evidence"]))
+            ).cast("bigint").alias("incomplete"),
+        ).alias("shape"),
+        F.explode_outer(F.flatten(F.transform(anomalies, lambda a: a["evidence"]))).alias("cited"),
     )
-    counts = shape.join(judged, "run_id", "left").withColumns(
-        {c: F.coalesce(c, F.lit(0)) for c in ("cited", "matched")}
+    # Documents without any citation keep one row with none.
+    cited = shape.select("run_id", "report_date", "shape", "cited.*")
+    judged = judge_evidence(cited, cells).groupBy("run_id").agg(
+        F.max("shape").alias("shape"),
+        F.count("query").alias("cited"),
+        F.count(F.when(F.col("matched"), 1)).alias("matched"),
     )
+    counts = judged.select("run_id", "shape.*", "cited", "matched")
     passed = (
         F.col("parsed")
         & F.col("summarised")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -49,6 +49,34 @@ def on_spine(
     return joined
 
 
+def fill_gaps(
+    daily: DataFrame, first: date, last: date, dims: Sequence[str], fill: Mapping[str, object],
+    available: str | None = None, name: str = "dt",
+) -> DataFrame:
+    """Same rows as ``on_spine(dimension_spine(observed dims), daily)``, reading ``daily`` once.
+
+    ``daily`` has one row per day and dims tuple. Each row stretches to the tuple's next
+    one (the first also back to the start of the axis), holding its measures on its own
+    day and ``fill`` on the others.
+    """
+    series = Window.partitionBy(*dims).orderBy(name)
+    lo = F.when(F.lag(name).over(series).isNull(), F.lit(first)).otherwise(F.col(name))
+    hi = F.coalesce(F.date_sub(F.lead(name).over(series), 1), F.lit(last))
+    days = daily.withColumns({"_days": F.sequence(lo, hi), "_own": F.col(name)})
+    spread = days.withColumn(name, F.explode("_days"))
+    own = F.col(name) == F.col("_own")
+    types = {f.name: f.dataType for f in daily.schema.fields}
+    filled = {
+        c: F.coalesce(F.when(own, F.col(c)), F.lit(v).cast(types[c])) for c, v in fill.items()
+    }
+    if available:
+        filled[available] = F.when(own, 1).otherwise(0)
+    return spread.withColumns(filled).select(
+        name, *dims, *[c for c in daily.columns if c != name and c not in dims],
+        *([available] if available else []),
+    )
+
+
 def available_only_if(*flags: str) -> Column:
     """1 when every flag is 1: a total is complete only if all its parts are."""
     return F.least(*[F.col(f) for f in flags]) if len(flags) > 1 else F.col(flags[0])

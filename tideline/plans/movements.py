@@ -13,9 +13,9 @@ from tideline.operators.levels import with_levels
 from tideline.operators.lifecycle import STATES
 from tideline.operators.movements import daily_movements, seen_by_run
 from tideline.operators.revenue import per_day
-from tideline.plans.kpi import Sources, settled_purchases
+from tideline.plans.kpi import Sources, settled_sales
 from tideline.plans.runs import Runs
-from tideline.plans.slices import USER_DAY, level_days
+from tideline.plans.slices import USER_DAY, level_rows
 
 COUNTS = [f"traffic_{s}" for s in STATES]
 
@@ -52,8 +52,8 @@ def lifecycle_mrr_tier(spark: SparkSession, src: Sources, runs: Runs) -> DataFra
     log = merge_user_days(
         [
             active,
-            settled_purchases(src, history, last),
-            level_days(src, history.replace(day=1), last),
+            settled_sales(src, history, last),
+            level_rows(src, history.replace(day=1), last),
         ],
         USER_DAY,
         {"active": F.bool_or("active"), "rev": F.sum("rev"), "level": F.max("level")},

@@ -9,18 +9,20 @@ from tideline.functions.buckets import level_tier
 from tideline.functions.dates import in_days
 from tideline.operators.aggregates import merge_user_days
 from tideline.operators.joins import attach_user_dim
-from tideline.operators.levels import daily_level, with_levels
+from tideline.operators.levels import with_levels
 from tideline.operators.series import baseline_pack, comparison_pack, to_long
-from tideline.operators.spine import dimension_spine, on_spine
-from tideline.plans.kpi import Sources, settled_purchases
+from tideline.operators.spine import fill_gaps
+from tideline.plans.kpi import Sources, settled_sales
 from tideline.plans.runs import Runs
 
 USER_DAY = ("dt", "userid")
 
 
-def level_days(src: Sources, first, last) -> DataFrame:
-    log = src["crown_level_log"].where(in_days(F.col("datecreated"), first, last))
-    return daily_level(log, "userid", "datecreated", "crown_level")
+def level_rows(src: Sources, first, last) -> DataFrame:
+    """Logged levels: ``dt, userid, level``; whoever merges them keeps the day's highest."""
+    return src["crown_level_log"].where(in_days(F.col("datecreated"), first, last)).select(
+        F.to_date("datecreated").alias("dt"), "userid", F.col("crown_level").alias("level")
+    )
 
 
 def main_kpi_slice(spark: SparkSession, src: Sources, runs: Runs) -> DataFrame:
@@ -36,7 +38,7 @@ def main_kpi_slice(spark: SparkSession, src: Sources, runs: Runs) -> DataFrame:
         .select(*USER_DAY, (F.col("bars_spent") > 0).alias("spender"), F.lit(1).alias("times"))
     )
     log = merge_user_days(
-        [spends, settled_purchases(src, first, last), level_days(src, runs.back(77), last)],
+        [spends, settled_sales(src, first, last), level_rows(src, runs.back(77), last)],
         USER_DAY,
         {
             "times": F.sum("times"),
@@ -59,13 +61,8 @@ def main_kpi_slice(spark: SparkSession, src: Sources, runs: Runs) -> DataFrame:
     )
     metrics = ["dau", "payers", "spenders", "rev"]
     # Zero filled over the whole range; a run only knows tuples seen on its own axis.
-    dims = daily.select("region", "tier").distinct()
-    wide = on_spine(
-        dimension_spine(dims, first, last),
-        daily,
-        ["dt", "region", "tier"],
-        fill={m: 0 for m in metrics},
-        available="activity_available",
+    wide = fill_gaps(
+        daily, first, last, ["region", "tier"], {m: 0 for m in metrics}, available="activity_available"
     )
     on_axis = Window.partitionBy("region", "tier").orderBy("dt").rowsBetween(-60, 0)
     wide = wide.withColumn("_seen", F.max("activity_available").over(on_axis))
@@ -91,7 +88,7 @@ def kpi_by_level(spark: SparkSession, src: Sources, runs: Runs) -> DataFrame:
         .select(F.col("day").cast("date").alias("dt"), "userid", F.lit(True).alias("active"))
     )
     log = merge_user_days(
-        [active, settled_purchases(src, first, last), level_days(src, runs.back(77), last)],
+        [active, settled_sales(src, first, last), level_rows(src, runs.back(77), last)],
         USER_DAY,
         {"active": F.bool_or("active"), "rev": F.sum("rev"), "level": F.max("level")},
     )
