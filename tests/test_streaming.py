@@ -1,9 +1,12 @@
 import json
 from datetime import datetime, timedelta
+from types import SimpleNamespace
+
+import pytest
 
 from tests.conftest import rows
 from tests.test_dialogue import TYPED, action, submission
-from tideline.streaming.ingest import append_new, dedupe_within, feedback_rows, ingest_feedback
+from tideline.streaming.ingest import ingest_feedback, work_dir
 
 LOG = "body string, received_at timestamp_ntz"
 START = datetime(2024, 1, 1, 12)
@@ -34,16 +37,6 @@ def test_retries_never_add_a_second_row(spark, tmp_path):
     assert drain(spark, source, sink, checkpoint) == [*first, ("e2", "positive", "recorded")]
 
 
-def test_repeating_a_written_batch_changes_nothing(spark, tmp_path):
-    """What happens when the driver is lost between the write and the commit."""
-    source, sink = str(tmp_path / "log"), str(tmp_path / "feedback")
-    write(spark, source, (positive("e1"), 0), (positive("e2"), 1))
-    batch = feedback_rows(spark.read.schema(LOG).parquet(source))
-    append_new(batch, sink)
-    append_new(batch, sink)
-    assert spark.read.parquet(sink).count() == 2
-
-
 def test_late_rows_are_kept(spark, tmp_path):
     source, sink, checkpoint = (str(tmp_path / n) for n in ("log", "feedback", "progress"))
     write(spark, source, (positive("e1"), 60 * 24 * 365))
@@ -56,10 +49,18 @@ def test_state_based_dedupe_within_its_horizon(spark, tmp_path):
     source, sink = str(tmp_path / "log"), str(tmp_path / "out")
     write(spark, source, (positive("e1"), 0), (positive("e1"), 5), (positive("e2"), 6))
     stream = spark.readStream.schema(LOG).parquet(source)
-    query = (
-        dedupe_within(feedback_rows(stream), "1 day")
-        .writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "progress"))
-        .trigger(availableNow=True).start(sink)
-    )
+    query = ingest_feedback(stream, sink, str(tmp_path / "progress"), horizon="1 day", available_now=True)
     query.awaitTermination()
     assert rows(spark.read.parquet(sink), "event_id") == [("e1",), ("e2",)]
+
+
+def session_like(setting, master):
+    conf = SimpleNamespace(get=lambda key, default: setting)
+    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+
+def test_work_folder_follows_the_session():
+    assert work_dir(session_like("hdfs://c/check/", "yarn"), "x").startswith("hdfs://c/check/x-")
+    assert work_dir(session_like(None, "local[8]"), "x")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_dir(session_like(None, "yarn"), "x")

@@ -347,12 +347,8 @@ def _(spark, d):
 @check("stream_watermark_dedupe", LOG, STREAMED)
 def _(spark, d):
     sink = ingest.work_dir(spark, "feedback")
-    first = ingest.dedupe_within(ingest.feedback_rows(_log_stream(spark, d)), "60 days")
-    query = (
-        first.writeStream.format("parquet")
-        .option("checkpointLocation", ingest.work_dir(spark, "progress"))
-        .trigger(availableNow=True)
-        .start(sink)
+    query = ingest.ingest_feedback(
+        _log_stream(spark, d), sink, ingest.work_dir(spark, "progress"), horizon="60 days", available_now=True
     )
     query.awaitTermination()
     return spark.read.parquet(sink).select(*STREAM_COLUMNS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators.lifecycle import (
@@ -58,11 +58,12 @@ def daily_movements(
 
     counts = [f"traffic_{s}" for s in PLAIN] + [f"_seen_by_{j}" for j in range(1, axis + 1)]
 
-    def measures(tally: Mapping[str, Column] | None = None, seen: Column | None = None) -> dict[str, Column]:
-        tally = tally or {}
-        zero = F.lit(0)
-        fields = {c: tally.get(c, zero).cast("bigint") for c in ["n_events", *counts]}
-        return fields | {"last_seen": seen if seen is not None else F.lit(None).cast("date")}
+    zeros = {c: F.lit(0).cast("bigint").alias(c) for c in ["n_events", *counts]}
+    unseen = F.lit(None).cast("date").alias("last_seen")
+
+    def measures(tally: Mapping[str, Column], seen: Column = unseen) -> list[Column]:
+        given = {name: c.cast("bigint").alias(name) for name, c in tally.items()}
+        return [*(given.get(name, zero) for name, zero in zeros.items()), seen]
 
     def one(cond: Column, value: Column | None = None) -> Column:
         return F.when(cond, value if value is not None else F.lit(1)).otherwise(0)
@@ -76,26 +77,34 @@ def daily_movements(
         f"_seen_by_{j}": one((state == "resurrected") & (gap <= history - j)) for j in range(1, axis + 1)
     }
 
-    def traffic(day: Column, cond: Column, tally: Mapping[str, Column], seen: Column | None = None) -> Column:
-        nothing = F.lit(0).cast("decimal(19,2)")
-        money = [nothing.alias(f"{s}_{w}") for s in streams for w in ("past", "prev", "new")]
-        fields = [c.alias(name) for name, c in measures(tally, seen).items()]
-        return F.when(cond, F.struct(day.alias("_day"), F.lit(0).alias("cover"), *money, *fields))
-
     def later(after: int, name: str) -> Column:
+        """Absence on a later day: no money, one event."""
         day = F.date_add("dt", after)
         cond = is_active & absent_until(after) & day.between(F.lit(first), F.lit(last))
-        return traffic(day, cond, {"n_events": F.lit(1), f"traffic_{name}": F.lit(1)})
+        tally = measures({"n_events": F.lit(1), f"traffic_{name}": F.lit(1)})
+        return F.when(cond, F.struct(day.alias("_day"), F.lit(0).alias("cover"), *no_money, *tally))
+
+    nothing = F.lit(0).cast("decimal(19,2)")
+    no_money = [nothing.alias(f"{s}_{w}") for s in streams for w in ("past", "prev", "new")]
 
-    shown = F.greatest(F.col("dt"), F.lit(first))
     tallied = {name: F.when(is_active & on_axis, c).otherwise(0) for name, c in own.items()}
     parts = [
-        traffic(shown, F.lit(True), tallied, seen=F.col("dt")),
+        *revenue_changes(
+            first, last, streams, pays,
+            others=measures({}), opening=measures(tallied, F.col("dt").alias("last_seen")), opens=on_axis | F.col("_last_before"),
+        ),
         later(SLEEP_AFTER, "sleeping"),
         later(CHURN_AFTER, "churned"),
-        *revenue_changes(first, last, streams, pays, measures()),
     ]
-    seen = prev_next_active(days, user, active)
+    # Before the axis only the latest user-day of a stay in one dims tuple matters.
+    by_user = Window.partitionBy(user).orderBy("dt")
+    following = F.lead(F.struct("dt", *dims)).over(by_user)
+    same = following["dt"] < F.lit(first)
+    for dim in dims:
+        same = same & following[dim].eqNullSafe(F.col(dim))
+    seen = prev_next_active(days, user, active).withColumn(
+        "_last_before", ~F.coalesce(same, F.lit(False))
+    )
     changes = seen.select(user, *dims, F.inline(F.array_compact(F.array(*parts))))
     names = list(streams)
     steps = movement_steps(changes, dims, user, names)

@@ -100,40 +100,67 @@ def moved_names(streams: Sequence[str]) -> list[str]:
 
 def revenue_changes(
     first: date, last: date, streams: Mapping[str, str], pays: Column | None = None,
-    extra: Mapping[str, Column] | None = None,
+    others: Sequence[Column] = (), opening: Sequence[Column] | None = None,
+    opens: Column | None = None,
 ) -> list[Column]:
-    """What one paying day changes, and when: structs, NULL where not applicable.
+    """What one user-day changes, and when: structs, NULL where nothing changes.
 
     A purchase enters the past window on the next day, moves to the window before after
-    30 days and leaves after 60. Changes before the axis fold onto its first day, later
-    ones than its last drop. ``extra`` adds (zero) fields of other measures.
+    30 days and leaves after 60. The first struct opens the user-day, on its own day or,
+    for days before the axis, on the axis' first day with the state reached by then. The
+    others follow only where they change that state within the axis, so an old purchase
+    costs one or two rows.
+
+    ``others`` adds fields of other measures (zeros), ``opening`` their values in the
+    first struct, and ``opens`` says for which user-days it is due beyond paying ones.
     """
     nothing = F.lit(0).cast("decimal(19,2)")
-    young = (F.col("dt") >= F.lit(first)) & (F.col("day_index") < SPAN)
-
-    def change(after: int, past: int = 0, prev: int = 0, cover: int = 0, new: bool = False) -> Column:
-        day = F.greatest(F.date_add("dt", after), F.lit(first))
-        parts = []
-        for name, source in streams.items():
-            amount = F.coalesce(F.col(source), F.lit(0)).cast("decimal(19,2)")
-            signed = {1: amount, 0: nothing, -1: (-amount).cast("decimal(19,2)")}
-            parts += [
-                signed[past].alias(f"{name}_past"),
-                signed[prev].alias(f"{name}_prev"),
-                (F.when(young, amount).otherwise(nothing) if new else nothing).alias(f"{name}_new"),
-            ]
-        zeros = [c.alias(n) for n, c in (extra or {}).items()]
-        applies = day <= F.lit(last)
-        if pays is not None:
-            applies = pays & applies
-        return F.when(applies, F.struct(day.alias("_day"), F.lit(cover).alias("cover"), *parts, *zeros))
-
-    return [
-        change(0, cover=1, new=True),
-        change(1, past=1),
-        change(SPAN + 1, past=-1, prev=1),
-        change(2 * SPAN + 1, prev=-1, cover=-1),
-    ]
+    opening = others if opening is None else opening
+    pays = F.lit(True) if pays is None else pays
+    amounts = {
+        name: F.coalesce(F.col(source), F.lit(0)).cast("decimal(19,2)") for name, source in streams.items()
+    }
+    start = F.greatest(F.col("dt"), F.lit(first))
+    age = F.datediff(start, F.col("dt"))
+    young = pays & (age == 0) & (F.col("day_index") < SPAN)
+
+    def struct(day: Column, cover: Column, money: Mapping[str, tuple], extra: Sequence[Column]) -> Column:
+        fields = [day.alias("_day"), cover.cast("int").alias("cover")]
+        for name, (past, prev, new) in money.items():
+            parts = {"past": past, "prev": prev, "new": new}
+            fields += [v.cast("decimal(19,2)").alias(f"{name}_{k}") for k, v in parts.items()]
+        return F.struct(*fields, *extra)
+
+    def held(cond: Column, amount: Column) -> Column:
+        return F.when(pays & cond, amount).otherwise(nothing)
+
+    opened = struct(
+        start,
+        F.when(pays & (age <= 2 * SPAN), 1).otherwise(0),
+        {
+            name: (
+                held(age.between(1, SPAN), a),
+                held(age.between(SPAN + 1, 2 * SPAN), a),
+                F.when(young, a).otherwise(nothing),
+            )
+            for name, a in amounts.items()
+        },
+        opening,
+    )
+    due = pays if opens is None else pays | opens
+    changes = [F.when(due & (start <= F.lit(last)), opened)]
+    for after, past, prev, cover in ((1, 1, 0, 0), (SPAN + 1, -1, 1, 0), (2 * SPAN + 1, 0, -1, -1)):
+        day = F.date_add("dt", after)
+        signs = (past, prev, 0)
+        money = {
+            name: tuple(a if s == 1 else -a if s == -1 else nothing for s in signs) for name, a in amounts.items()
+        }
+        changes.append(
+            F.when(
+                pays & (day > start) & (day <= F.lit(last)), struct(day, F.lit(cover), money, others)
+            )
+        )
+    return changes
 
 
 def movement_steps(

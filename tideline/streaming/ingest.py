@@ -5,11 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
 from tideline.operators.feedback import parse_interactions
 
@@ -52,42 +50,24 @@ def dedupe_within(feedback: DataFrame, horizon: str) -> DataFrame:
     return timed.withWatermark("received_at", horizon).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def append_new(batch: DataFrame, sink: str) -> None:
-    """Append the rows of a batch whose event id the sink does not hold yet.
-
-    Exact at any age of the retry, and safe to repeat: a batch that was written before a
-    failure finds all its ids present. A retry may arrive on a later day than the
-    original, so the whole id column is compared, but nothing else is read. Within the
-    batch the earliest row of an id wins.
-    """
-    spark = batch.sparkSession
-    columns = [c for c in batch.columns if c not in ("event_id", "received_at")]
-    first = batch.groupBy("event_id").agg(F.min(F.struct("received_at", *columns)).alias("r"))
-    fresh = first.select("event_id", "r.*")
-    known = _held_ids(spark, sink, batch.schema)
-    if known is not None:
-        fresh = fresh.join(known, "event_id", "left_anti")
-    fresh.write.mode("append").partitionBy("event_day").parquet(sink)
-
-
-def _held_ids(spark: SparkSession, sink: str, schema: StructType) -> DataFrame | None:
-    try:
-        return spark.read.schema(schema).parquet(sink).select("event_id")
-    except AnalysisException as problem:
-        if problem.getCondition() == "PATH_NOT_FOUND":  # nothing ingested yet
-            return None
-        raise
-
-
 def ingest_feedback(
-    log: DataFrame, sink: str, checkpoint: str, available_now: bool = False
+    log: DataFrame, sink: str, checkpoint: str, horizon: str | None = None, available_now: bool = False
 ) -> StreamingQuery:
-    """Stream the raw interaction log into the feedback table at ``sink``."""
+    """Stream the raw interaction log into the feedback table at ``sink``.
+
+    Without ``horizon`` every event id ever seen stays in the state store, spread over
+    the executors by id and saved with the checkpoint: a retry of any age is recognised,
+    no row is too late, and a micro-batch costs what it brings, not what the table
+    holds. With ``horizon`` the state is bounded, see ``dedupe_within``. The file sink's
+    own log makes each batch appear once, also when it is repeated after a failure.
+    """
+    rows = feedback_rows(log)
+    unique = dedupe_within(rows, horizon) if horizon else rows.dropDuplicates(["event_id"])
     writer = (
-        feedback_rows(log)
-        .writeStream.foreachBatch(lambda batch, _: append_new(batch, sink))
+        unique.writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
+        .partitionBy("event_day")
     )
     if available_now:
         writer = writer.trigger(availableNow=True)
-    return writer.start()
+    return writer.start(sink)
