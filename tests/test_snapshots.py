@@ -9,7 +9,7 @@ from tideline.sources.snapshots import (
     RowBudgetExceeded, budget_status, guard_rows, read_snapshot, save_payload, snapshot_reports, to_cells,
     write_snapshot,
 )
-from tideline.sources.warehouse import SCHEMAS, Warehouse
+from tideline.sources.warehouse import SCHEMAS, Warehouse, conform
 
 
 def test_budget_passes_exactly_at_the_limit(spark):
@@ -71,3 +71,28 @@ def test_warehouse_reads_relations_when_asked(spark, tmp_path):
     assert house["admob_revenue"].count() == 1
     with pytest.raises(KeyError):
         house["no_such_relation"]
+
+
+def test_command_line_run_and_backfill(spark, tmp_path):
+    from tideline.__main__ import main
+
+    world = EventsWorld(spark, SAMPLE)
+    sources, out = str(tmp_path / "src"), str(tmp_path / "cells")
+    for name in ("dailyactives", "store_transaction"):
+        conform(world[name], name).write.parquet(f"{sources}/{name}")
+    args = ["--sources", sources, "--out", out]
+    assert main([*args, "--report-date", "2024-01-30", "--reports", "main_kpi_flat", "stickiness_locale"]) == 1
+    once = rows(read_snapshot(spark, out).where("query = 'main_kpi_flat'"))
+    assert main([*args, "--report-date", "2024-01-29", "--to", "2024-01-30", "--reports", "main_kpi_flat"]) == 0
+    both = read_snapshot(spark, out).where("query = 'main_kpi_flat'")
+    assert rows(both.where("report_date = date '2024-01-30'")) == once
+    assert both.select("report_date").distinct().count() == 2
+
+
+def test_catalog_labels_resolve(spark):
+    from tideline import catalog
+    from tideline.operators.knowledge import resolve_labels
+
+    labels = {r.name: r for r in resolve_labels(catalog(spark)).collect()}
+    assert labels["main_kpi_slice"].supports_label == labels["main_kpi_flat"].label
+    assert labels["main_kpi_flat"].supports_label == ""

@@ -1,6 +1,6 @@
 """Daily product metrics on Spark: dense series, baselines, lifecycle and revenue movements."""
 
-from tideline.plans.registry import REPORTS, backfill, run_report
+from tideline.plans.registry import REPORTS, backfill, catalog, run_report
 from tideline.plans.runs import Runs
 
-__all__ = ["REPORTS", "Runs", "backfill", "run_report"]
+__all__ = ["REPORTS", "Runs", "backfill", "catalog", "run_report"]

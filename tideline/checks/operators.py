@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tideline.checks.relations import EVENTS, ORDERS, days, pct, rnd, run_dates, statement
 from tideline.checks.report_sql import HALF, TIER, compare, lifecycle_ctes, main_kpi_slice, movement_ctes
 from tideline.functions.buckets import home_region, level_tier, locale_region, payer_flag
-from tideline.functions.dates import day_index, half_month_start, in_days
+from tideline.functions.dates import day_index, half_month_start
 from tideline.functions.numbers import pct_change, ratio, round_half_away
 from tideline.functions.text import comma_list, escape_cell, form_value, metric_label, trim_space
 from tideline.operators import aggregates, levels
@@ -221,14 +221,14 @@ def _(spark, d):
     )
 
 
-@check("bucket_level_tier", ORDERS, {}, f"""
+@check("bucket_level_tier", EVENTS, {}, f"""
 SELECT a.dt, a.userid, {TIER.format("level")} AS tier
-FROM dailyactives a LEFT JOIN levels l ON l.userid = a.userid AND l.dt = a.dt AND level <> 7""")
+FROM dailyactives a LEFT JOIN levels l ON l.userid = a.userid AND l.dt = a.dt""")
 def _(spark, d):
-    world = OrdersWorld(spark, d)
+    world = EventsWorld(spark, d)
     best = levels.daily_level(world["crown_level_log"], "userid", "datecreated", "crown_level")
     active = world["dailyactives"].select(F.col("day").alias("dt"), "userid")
-    joined = attach_user_day(active, best.where(F.col("level") != 7), ["dt", "userid"])
+    joined = attach_user_day(active, best, ["dt", "userid"])
     return joined.select("dt", "userid", level_tier(F.col("level")).alias("tier"))
 
 

@@ -119,3 +119,11 @@ def backfill(
     report = REPORTS[name]
     plan = report.plan(spark, sources, Runs.reporting(first_report, last_report))
     return plan.orderBy("run_date", *report.sort_keys())
+
+
+def catalog(spark: SparkSession) -> DataFrame:
+    """The report catalog as ``name, description, role, supports``."""
+    rows = [(r.name, r.description, r.role, list(r.supports)) for r in REPORTS.values()]
+    return spark.createDataFrame(
+        rows, "name string, description string, role string, supports array<string>"
+    )
