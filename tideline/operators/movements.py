@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 from tideline.operators.lifecycle import (
     CHURN_AFTER, SLEEP_AFTER, absent_until, activity_state, prev_next_active,
 )
-from tideline.operators.revenue import movement_steps, moved_names, revenue_changes, spell_out
-
-PLAIN = ("new", "retaining", "sleeping", "churned")
+from tideline.operators.revenue import in_money, movement_steps, moved_names, revenue_changes, spell_out
 
 
 def daily_movements(
@@ -56,42 +54,38 @@ def daily_movements(
     for column in streams.values():
         pays = pays | F.coalesce(F.col(column) > 0, F.lit(False))
 
-    counts = [f"traffic_{s}" for s in PLAIN] + [f"_seen_by_{j}" for j in range(1, axis + 1)]
-
-    zeros = {c: F.lit(0).cast("bigint").alias(c) for c in ["n_events", *counts]}
-    unseen = F.lit(None).cast("date").alias("last_seen")
-
-    def measures(tally: Mapping[str, Column], seen: Column = unseen) -> list[Column]:
-        given = {name: c.cast("bigint").alias(name) for name, c in tally.items()}
-        return [*(given.get(name, zero) for name, zero in zeros.items()), seen]
-
-    def one(cond: Column, value: Column | None = None) -> Column:
-        return F.when(cond, value if value is not None else F.lit(1)).otherwise(0)
-
-    again = n - 1
-    own = {
-        "n_events": n,
-        "traffic_new": one(index == 0, n),
-        "traffic_retaining": one(~F.coalesce(index == 0, F.lit(False)), one(state == "retaining") + again),
-    } | {
-        f"_seen_by_{j}": one((state == "resurrected") & (gap <= history - j)) for j in range(1, axis + 1)
-    }
+    # How many runs, counted from the day after, still know the previous active day.
+    known_by = F.least(F.lit(history) - gap, F.lit(axis))
+    no_money = [F.lit(0).cast("bigint").alias(f"{s}_{w}") for s in streams for w in ("past", "prev", "new")]
+    no_run = F.lit(0).alias("known_by")
+
+    def tally(n_events: Column, label: Column, runs: Column = no_run, seen: Column | None = None) -> list[Column]:
+        return [
+            n_events.cast("int").alias("n_events"),
+            label.alias("state"),
+            runs.alias("known_by"),
+            (F.lit(None).cast("date") if seen is None else seen).alias("last_seen"),
+        ]
+
+    nobody = tally(F.lit(0), F.lit(None).cast("string"))
+    present = is_active & on_axis
+    opening = tally(
+        F.when(present, n).otherwise(0),
+        F.when(present, state),
+        F.when(present & (state == "resurrected"), known_by).otherwise(0),
+        F.col("dt"),
+    )
 
     def later(after: int, name: str) -> Column:
         """Absence on a later day: no money, one event."""
         day = F.date_add("dt", after)
         cond = is_active & absent_until(after) & day.between(F.lit(first), F.lit(last))
-        tally = measures({"n_events": F.lit(1), f"traffic_{name}": F.lit(1)})
-        return F.when(cond, F.struct(day.alias("_day"), F.lit(0).alias("cover"), *no_money, *tally))
-
-    nothing = F.lit(0).cast("decimal(19,2)")
-    no_money = [nothing.alias(f"{s}_{w}") for s in streams for w in ("past", "prev", "new")]
+        fields = tally(F.lit(1), F.lit(name))
+        return F.when(cond, F.struct(day.alias("_day"), F.lit(0).alias("cover"), *no_money, *fields))
 
-    tallied = {name: F.when(is_active & on_axis, c).otherwise(0) for name, c in own.items()}
     parts = [
         *revenue_changes(
-            first, last, streams, pays,
-            others=measures({}), opening=measures(tallied, F.col("dt").alias("last_seen")), opens=on_axis | F.col("_last_before"),
+            first, last, streams, pays, others=nobody, opening=opening, opens=on_axis | F.col("_last_before")
         ),
         later(SLEEP_AFTER, "sleeping"),
         later(CHURN_AFTER, "churned"),
@@ -108,14 +102,30 @@ def daily_movements(
     changes = seen.select(user, *dims, F.inline(F.array_compact(F.array(*parts))))
     names = list(streams)
     steps = movement_steps(changes, dims, user, names)
+
+    def counted(label: str, events: Column | None = None) -> Column:
+        return F.sum(F.when(F.col("state") == label, F.col("n_events") if events is None else events).otherwise(0))
+
+    # Of several rows folded into a user-day the first has the day's state, the others
+    # follow it on the same day and retain.
+    again = F.when(F.col("state").isin("resurrected", "other_active"), F.col("n_events") - 1).otherwise(0)
+    by_run = {f"_run_{j}": F.sum(F.when(F.col("known_by") >= j, 1).otherwise(0)) for j in range(1, axis + 1)}
     daily = spell_out(
         steps, first, last, dims,
         running=["cover", *moved_names(names)],
-        once=["n_events", *counts, *[f"{s}_new" for s in names]],
+        once={
+            "n_events": F.sum("n_events"),
+            "traffic_new": counted("new"),
+            "traffic_retaining": counted("retaining") + F.sum(again),
+            "traffic_sleeping": counted("sleeping"),
+            "traffic_churned": counted("churned"),
+            **by_run,
+            **{f"{s}_new": F.sum(f"{s}_new") for s in names},
+        },
         latest=["last_seen"],
     )
-    by_run = [c for c in counts if c.startswith("_seen_by_")]
-    return daily.withColumn("resurrected", F.array(*by_run)).drop(*by_run)
+    amounts = [*moved_names(names), *[f"{s}_new" for s in names]]
+    return in_money(daily.withColumn("resurrected", F.array(*by_run)).drop(*by_run), amounts)
 
 
 def seen_by_run(daily: DataFrame) -> DataFrame:
