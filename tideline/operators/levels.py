@@ -20,6 +20,8 @@ def with_levels(days: DataFrame, user: str, lookback: int | None = None) -> Data
 
     ``days`` holds one row per user-day, level days included, with a nullable ``level``:
 
+    Levels are integers from 0 up:
+
     * ``asof_level`` / ``asof_level_dt``: the latest level on or before the day, NULL when
       it is more than ``lookback`` days old;
     * ``period_level``: the best level from the start of the day's half-month up to the
@@ -30,27 +32,31 @@ def with_levels(days: DataFrame, user: str, lookback: int | None = None) -> Data
     join. A user has one row per day, so no task sees more than the days of the range.
     """
     so_far = Window.partitionBy(user).orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
-    has_level = F.col("level").isNotNull()
-    period = half_month_start(F.col("dt"))
+    level, day = F.col("level"), F.col("dt")
+    has_level = level.isNotNull()
+    period = half_month_start(day)
+    # A later half-month outranks any level of an earlier one, so the maximum of the pair
+    # is the best level of the newest half-month with one. Packed into one number: a
+    # running maximum of plain numbers is far cheaper than one of structs.
+    rank = F.shiftleft(F.unix_date(period).cast("bigint"), 32) + level
     seen = days.withColumns(
         {
-            "_latest": F.last(
-                F.when(has_level, F.struct(F.col("dt").alias("day"), "level")), ignorenulls=True
-            ).over(so_far),
-            # Half-months sort before levels, so the maximum is the best of the newest one.
-            "_best": F.max(F.when(has_level, F.struct(period.alias("period"), "level"))).over(so_far),
+            "_level": F.last(level, ignorenulls=True).over(so_far),
+            "_level_dt": F.last(F.when(has_level, day), ignorenulls=True).over(so_far),
+            "_best": F.max(rank).over(so_far),
         }
     )
-    fresh = F.col("_latest").isNotNull()
+    fresh = F.col("_level").isNotNull()
     if lookback is not None:
-        fresh = fresh & (F.datediff("dt", F.col("_latest.day")) <= lookback)
+        fresh = fresh & (F.datediff(day, F.col("_level_dt")) <= lookback)
+    best_now = F.col("_best") - F.shiftleft(F.unix_date(period).cast("bigint"), 32)
     return seen.withColumns(
         {
-            "asof_level": F.when(fresh, F.col("_latest.level")),
-            "asof_level_dt": F.when(fresh, F.col("_latest.day")),
-            "period_level": F.when(F.col("_best.period") == period, F.col("_best.level")),
+            "asof_level": F.when(fresh, F.col("_level")),
+            "asof_level_dt": F.when(fresh, F.col("_level_dt")),
+            "period_level": F.when(best_now >= 0, best_now.cast("int")),
         }
-    ).drop("_latest", "_best")
+    ).drop("_level", "_level_dt", "_best")
 
 
 def asof_level(activity: DataFrame, levels: DataFrame, user: str, lookback: int = 30) -> DataFrame:

@@ -69,27 +69,22 @@ def lifecycle_events(
     index = F.col("day_index")
     none = F.lit(None).cast("int")
 
-    def event(day, state, gap_days, n):
-        return F.struct(day.alias("dt"), state.alias("state"), gap_days.alias("gap"),
-                        n.cast("bigint").alias("n"))
-
-    def absent(after: int):
-        return F.when(absent_until(after), 1).otherwise(0)
-
-    events = [
-        event(F.col("dt"), activity_state(gap, index), gap, F.lit(1)),
-        event(F.date_add("dt", sleep), F.lit("sleeping"), none, absent(sleep)),
-        event(F.date_add("dt", churn), F.lit("churned"), none, absent(churn)),
-    ]
-    on_axis = F.filter(
-        F.array(*events),
-        lambda e: (e["n"] > 0) & e["dt"].between(F.lit(first), F.lit(last)),
+    def event(day: Column, state: Column, gap_days: Column, cond: Column) -> Column:
+        due = cond & day.between(F.lit(first), F.lit(last))
+        fields = F.struct(day.alias("dt"), state.alias("state"), gap_days.alias("gap"), F.lit(1).cast("bigint").alias("n"))
+        return F.when(due, fields)
+
+    events = F.array(
+        event(F.col("dt"), activity_state(gap, index), gap, F.lit(True)),
+        event(F.date_add("dt", sleep), F.lit("sleeping"), none, absent_until(sleep)),
+        event(F.date_add("dt", churn), F.lit("churned"), none, absent_until(churn)),
     )
     # Days that can reach the axis; everything else never gets to build its array.
     reach = F.col("dt").between(F.lit(first), F.lit(last))
     for after in (sleep, churn):
         reach = reach | F.col("dt").between(F.date_sub(F.lit(first), after), F.date_sub(F.lit(last), after))
-    return seen.where(reach).select(*dims, F.inline(on_axis)).select("dt", *dims, "state", "gap", "n")
+    named = seen.where(reach).select(*dims, F.inline(events)).where(F.col("dt").isNotNull())
+    return named.select("dt", *dims, "state", "gap", "n")
 
 
 def lifecycle_counts(events: DataFrame, keys: Sequence[str]) -> DataFrame:

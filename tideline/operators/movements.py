@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tideline.operators.lifecycle import (
     CHURN_AFTER, SLEEP_AFTER, absent_until, activity_state, prev_next_active,
 )
-from tideline.operators.revenue import in_money, movement_steps, moved_names, revenue_changes, spell_out
+from tideline.operators.revenue import in_money, inline_some, movement_steps, moved_names, revenue_changes, spell_out
 
 
 def daily_movements(
@@ -99,7 +99,7 @@ def daily_movements(
     seen = prev_next_active(days, user, active).withColumn(
         "_last_before", ~F.coalesce(same, F.lit(False))
     )
-    changes = seen.select(user, *dims, F.inline(F.array_compact(F.array(*parts))))
+    changes = inline_some(seen, [user, *dims], parts)
     names = list(streams)
     steps = movement_steps(changes, dims, user, names)
 

@@ -86,8 +86,7 @@ def revenue_movements(
     without a row per user and day; amounts still undivided (see ``per_day``)."""
     dims = list(dims)
     reach = F.col("dt").between(F.lit(first - timedelta(days=2 * SPAN)), F.lit(last))
-    parts = F.array_compact(F.array(*revenue_changes(first, last, streams)))
-    changes = paying.where(reach).select(user, *dims, F.inline(parts))
+    changes = inline_some(paying.where(reach), [user, *dims], revenue_changes(first, last, streams))
     steps = movement_steps(changes, dims, user, list(streams))
     amounts = moved_names(list(streams))
     once = {f"{s}_new": F.sum(f"{s}_new") for s in streams}
@@ -95,6 +94,15 @@ def revenue_movements(
     return in_money(daily.where(F.col("cover") > 0).drop("cover"), [*amounts, *once])
 
 
+def inline_some(df: DataFrame, keys: Sequence[str], structs: Sequence[Column]) -> DataFrame:
+    """One row per struct that is not NULL; all of them have a ``_day``.
+
+    Filtering the rows instead of the array keeps the expression out of lambda
+    functions, which Spark evaluates without code generation.
+    """
+    return df.select(*keys, F.inline(F.array(*structs))).where(F.col("_day").isNotNull())
+
+
 def in_money(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Whole hundredths back to amounts."""
     return df.withColumns(

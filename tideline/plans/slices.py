@@ -121,7 +121,8 @@ def kpi_by_level(spark: SparkSession, src: Sources, runs: Runs) -> DataFrame:
     )
     measures = ["dau", "payers", "revenue"]
     folded = (
-        known.select("dt", F.inline(F.array_compact(parts)))
+        known.select("dt", F.inline(parts))
+        .where(F.col("crown_level").isNotNull())
         .groupBy("dt", "crown_level", "level_dt")
         .agg(*[F.sum(m).alias(m) for m in measures])
     )
