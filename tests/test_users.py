@@ -112,6 +112,26 @@ def test_revenue_changes_equal_the_rolling_form(spark, seed, first, last):
     assert rows(fast) == rows(slow)
 
 
+def test_rolling_revenue_against_brute_force(spark):
+    data = [r for r in random_days(6) if r[5]]
+    first, last = 40, 60
+    expected = []
+    for n in range(first, last + 1):
+        for key in {r[1:2] + r[3:5] for r in data}:
+            mine = [r for r in data if r[1:2] + r[3:5] == key and day(n - 60) <= r[0] <= day(n)]
+            if not mine:
+                continue
+
+            def paid(a, b, young=False):
+                inside = [r[5] for r in mine if day(n - b) <= r[0] <= day(n - a) and (not young or (r[2] is not None and r[2] < 30))]
+                return sum(inside, Decimal("0.00"))
+
+            expected.append((day(n), *key, paid(0, 0, True), paid(1, 30), paid(31, 60)))
+    df = spark.createDataFrame(data, DAYS)
+    got = rolling_revenue(df, day(first), day(last), ["region", "tier"], "u", {"paid": "paid"})
+    assert rows(got) == sorted(expected, key=repr)
+
+
 @pytest.mark.parametrize("seed", [4, 5])
 def test_one_pass_movements_equal_the_single_operators(spark, seed):
     df = spark.createDataFrame(random_days(seed), DAYS)

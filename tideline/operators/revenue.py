@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.numbers import round_half_away
-from tideline.operators.actives import on_days, spread_forward
+from tideline.operators.actives import on_days
 
 SPAN = 30
 MOVES = ("new", "expansion", "contraction", "churned")
@@ -23,25 +23,33 @@ def rolling_revenue(
     """Per axis day, user and dims: today's revenue of young accounts, the past 30 days
     and the 30 days before those.
 
-    ``streams`` maps an output prefix to a money column. Each paying day is spread over
-    the at most 61 axis days it can touch and folded again map-side.
+    ``streams`` maps an output prefix to a money column; ``paying`` has one row per
+    user-day and dims. The result has a row for each of the 61 axis days a purchase
+    touches, but only its few changes (see ``revenue_changes``) are shuffled and sorted:
+    each state between two changes is spelled out to days afterwards, in place.
     """
-    spread = spread_forward(paying, first, last, 2 * SPAN)
-    age = F.datediff("axis_dt", "dt")
-    sums = []
-    for prefix, col in streams.items():
-        amount = F.col(col)
-        zero = F.lit(0).cast("decimal(18,2)")
-
-        def when(cond: Column, amount=amount, zero=zero) -> Column:
-            return F.sum(F.when(cond, amount).otherwise(zero))
-
-        sums += [
-            when((age == 0) & (F.col("day_index") < SPAN)).alias(f"{prefix}_today"),
-            when(age.between(1, SPAN)).alias(f"{prefix}_past"),
-            when(age.between(SPAN + 1, 2 * SPAN)).alias(f"{prefix}_prev"),
-        ]
-    return spread.groupBy(F.col("axis_dt").alias("dt"), user, *dims).agg(*sums)
+    keys, names = [user, *dims], list(streams)
+    reach = F.col("dt").between(F.lit(first - timedelta(days=2 * SPAN)), F.lit(last))
+    changes = inline_some(paying.where(reach), keys, revenue_changes(first, last, streams))
+    timeline = Window.partitionBy(*keys).orderBy("_day")
+    so_far = timeline.rowsBetween(Window.unboundedPreceding, 0)
+    that_day = timeline.rangeBetween(0, 0)
+    # Of several changes on one day all but the last span no day and vanish below.
+    states = changes.select(
+        *keys,
+        "_day",
+        F.col("_day").alias("_own"),
+        F.coalesce(F.lead("_day").over(timeline), F.lit(last + timedelta(days=1))).alias("_until"),
+        F.sum("cover").over(so_far).alias("cover"),
+        *[F.sum(f"{s}_{w}").over(so_far).alias(f"{s}_{w}") for s in names for w in ("past", "prev")],
+        *[F.sum(f"{s}_new").over(that_day).alias(f"{s}_today") for s in names],
+    )
+    daily = on_days(states, first, last).where(F.col("cover") > 0)
+    today = {
+        f"{s}_today": F.when(F.col("dt") == F.col("_own"), F.col(f"{s}_today")).otherwise(0) for s in names
+    }
+    amounts = [f"{s}_{w}" for s in names for w in ("today", "past", "prev")]
+    return in_money(daily.withColumns(today), amounts).select("dt", *keys, *amounts)
 
 
 def _moved(past: Column, prev: Column) -> dict[str, Column]:
