@@ -13,7 +13,11 @@ SAMPLE = os.environ.get("TIDELINE_SAMPLE", "/root/testdata/sf0.001")
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(
-        **{"spark.sql.shuffle.partitions": "4", "spark.default.parallelism": "4"}
+        **{
+            "spark.sql.shuffle.partitions": "4",
+            "spark.default.parallelism": "4",
+            "spark.sql.maxMetadataStringLength": "2000",  # plans are read by tests
+        }
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -123,6 +123,12 @@ def test_budget_keeps_a_prefix(spark):
     assert budgeted_selection(items, "text", ["id"]).count() == 12
 
 
+def test_item_limit_applies_before_the_shuffle(spark):
+    items = spark.createDataFrame([("p", 1, "x")], "product string, id int, text string")
+    plan = budgeted_selection(items, "text", ["id"], ["product"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+
+
 def test_labels(spark):
     data = [("main_kpi", " Start ", []), ("das_day", None, ["main_kpi", "no_such", "main_kpi"])]
     got = resolve_labels(spark.createDataFrame(data, "name string, description string, supports array<string>"))

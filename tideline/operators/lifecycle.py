@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# States, and the days that tell them apart.
 STATES = ("new", "retaining", "resurrected", "sleeping", "churned")
 RETAIN_WITHIN = 7
 SLEEP_AFTER = 8
