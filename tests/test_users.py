@@ -217,6 +217,15 @@ def test_percentiles_equal_numpy(spark, hot):
     assert not any(k == "none" for k, _ in got)
 
 
+def test_percentiles_scan_and_fold_once(spark, tmp_path):
+    path = str(tmp_path / "values")
+    spark.range(1000).selectExpr("id % 3 as k", "cast(id as double) as v").write.parquet(path)
+    got = exact_percentiles(spark.read.parquet(path), ["k"], "v", [0.5])
+    got.collect()
+    final = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("FileScan") == 1 and final.count("ReusedExchange") == 1
+
+
 def test_distinct_counts_ignore_missing_users_and_count_once(spark):
     data = [(day(0), 1, 5), (day(0), 1, -1), (day(0), None, 9), (day(0), 2, -1)]
     df = spark.createDataFrame(data, "dt date, u int, v int")

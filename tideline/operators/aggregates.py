@@ -64,6 +64,8 @@ def exact_percentiles(
 ) -> DataFrame:
     """Continuous percentiles (linear interpolation) as rows ``keys, fraction, percentile``.
 
+    Rows without a key or value do not take part.
+
     Never holds a whole group in one task, whatever its share of the rows:
 
     1. equal values fold into (value, count) rows, combined map-side;
@@ -77,6 +79,8 @@ def exact_percentiles(
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_band", (F.signum("_v") * F.floor(F.log1p(F.abs("_v")) * 1000.0)).cast("bigint"))
+        # What the join below implies anyway; said here, both its sides share one shuffle.
+        .where(F.col("_band").isNotNull())
     )
     group = Window.partitionBy(*keys)
     ranks = F.array(*[F.lit(float(p)) for p in fractions])
