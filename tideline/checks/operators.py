@@ -7,11 +7,11 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from tideline.checks.relations import EVENTS, ORDERS, days, pct, rnd, run_dates, statement
-from tideline.checks.report_sql import HALF, TIER, compare, lifecycle_ctes, main_kpi_slice, movement_ctes
+from tideline.checks.report_sql import HALF, TIER, lifecycle_ctes, main_kpi_slice, movement_ctes
 from tideline.functions.buckets import home_region, level_tier, locale_region, payer_flag
 from tideline.functions.dates import day_index, half_month_start
 from tideline.functions.numbers import pct_change, ratio, round_half_away
-from tideline.functions.text import comma_list, escape_cell, form_value, metric_label, trim_space
+from tideline.functions.text import comma_list, escape_cell, form_value, metric_label
 from tideline.operators import aggregates, levels
 from tideline.operators.actives import rolling_distinct, trailing_sums
 from tideline.operators.economy import ratio_of_sums, sold_per_day
