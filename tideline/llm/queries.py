@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.frames import table
+from tideline.llm.secrets import secret_spans
 from tideline.llm.token_counts import token_counts
 
 TOKEN_LIMIT = 4096
@@ -19,7 +20,17 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: three patterns and random-looking tokens."""
+    found = secret_spans(table(spark, sf_dir, "documents"))
+    size = lambda kind: F.size(kind).cast("long").alias(f"n_{kind}")
+    return found.select(
+        F.col("id").alias("doc_id"), *map(size, ("assign", "access", "hex", "random")), F.sha2("base", 256).alias("base_sha256"), "spans"
+    )
+
+
 QUERIES = {
     "op9_token_counts": op9_token_counts,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLE: dict[str, str] = {}
