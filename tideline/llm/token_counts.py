@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.frames import checkpointed, keyed
 
-HEAD = 1 << 18
+HEAD = 1 << 19
 HEAD_CHARS = 64
 SPREAD = 9973
 SPACE = "▁"
@@ -108,13 +108,14 @@ def token_counts(docs: DataFrame, model: str, id_column: str = "doc_id", text: s
             plain = pa.array([True] * n_rows + [False] * rest)
             # No pre-token goes on behind a line feed: the rows of whole documents meet no pieces and spread evenly.
             words = pa.array([f"\n{k % SPREAD}" for k in batch.column("k2").to_pylist()] + pre, pa.string())
-            columns = [batch.column(c).take(takes) for c in ("id", "k1", "k2", "n_bytes")]
+            keys = [batch.column(c).take(takes) for c in ("k1", "k2")]
+            once = [pa.chunked_array([batch.column(c), pa.nulls(rest, pa.int64())]).combine_chunks() for c in ("id", "n_bytes")]
             yield pa.RecordBatch.from_arrays(
-                [*columns, plain, words, pa.array(base + times, pa.int64())], ["id", "k1", "k2", "n_bytes", "plain", "pre", "n"]
+                [*once, *keys, plain, words, pa.array(base + times, pa.int64())], ["id", "n_bytes", "k1", "k2", "plain", "pre", "n"]
             )
 
     scanned = rows.withColumn("n_bytes", F.octet_length("text").cast("long")).mapInArrow(
-        by_document, "id long, k1 long, k2 long, n_bytes long, plain boolean, pre string, n long"
+        by_document, "id long, n_bytes long, k1 long, k2 long, plain boolean, pre string, n long"
     )
     summed = (
         scanned.join(counted.select("pre", "pieces"), "pre", "left")
