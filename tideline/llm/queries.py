@@ -6,12 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.frames import table
+from tideline.llm.quality import held_out, scored, train
 from tideline.llm.secrets import secret_spans
 from tideline.llm.token_counts import token_counts
 
 TOKEN_LIMIT = 4096
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    trees = train(docs, table(spark, sf_dir, "labels"))
+    score = F.col("_score")
+    return scored(docs, trees, keep=["doc_id"]).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by the 32k piece vocabulary."""
     import public_tokenizers
@@ -30,6 +41,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_secret_scan": op10_secret_scan,
 }
