@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.llm.decontaminate import contained
 from tideline.llm.frames import table
 from tideline.llm.quality import held_out, scored, train
 from tideline.llm.secrets import secret_spans
@@ -13,6 +14,19 @@ from tideline.llm.token_counts import token_counts
 TOKEN_LIMIT = 4096
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten-word windows of benchmark items in every document."""
+    found = contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from labels that aren't held out."""
     docs = table(spark, sf_dir, "documents")
@@ -41,6 +55,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_secret_scan": op10_secret_scan,
