@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.decontaminate import contained
 from tideline.llm.frames import table
+from tideline.llm.html_blocks import extract
 from tideline.llm.quality import held_out, scored, train
 from tideline.llm.secrets import secret_spans
 from tideline.llm.token_counts import token_counts
@@ -14,6 +15,11 @@ from tideline.llm.token_counts import token_counts
 TOKEN_LIMIT = 4096
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten-word windows of benchmark items in every document."""
     found = contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -55,6 +61,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_main_text": op1_main_text,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
