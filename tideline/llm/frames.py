@@ -22,6 +22,17 @@ def text_column(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front as long as a column has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def keyed(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, ``text``, ``k1`` and ``k2`` only; other columns may have any name.
 

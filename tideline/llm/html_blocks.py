@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.frames import fresh
+
 # Fixed sets of HTML element names.
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -251,4 +253,4 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
             )
 
     schema = ", ".join([*(f"`{c}` {kind}" for c, kind in rest), "text string", "n_chars long", "n_blocks long"])
-    return pages.select(F.col(html).cast("string").alias("_html"), *(F.col(f"`{c}`") for c, _ in rest)).mapInArrow(run, schema)
+    return pages.select(F.col(html).cast("string").alias(fresh(pages, "_html")[0]), *(F.col(f"`{c}`") for c, _ in rest)).mapInArrow(run, schema)

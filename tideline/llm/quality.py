@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.bytework import buffers, runs_of, shingle_hashes, slice_hashes
-from tideline.llm.frames import keyed
+from tideline.llm.frames import fresh, keyed
 
 SAMPLE = 20_000
 BINS = 64
@@ -218,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_column:
 
 def scored(docs: DataFrame, trees: Trees, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns of ``docs`` (``keep``, or all) and ``_score``, the probability of label 1; null texts are judged as empty ones."""
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in docs.columns if (keep is None or c in keep) and c != "_score"]
     shipped = docs.sparkSession.sparkContext.broadcast((trees.base, trees.feature, trees.threshold, trees.leaf))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,5 +228,5 @@ def scored(docs: DataFrame, trees: Trees, text: str = "text", keep: list[str] |
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.float64())], [*batch.schema.names[1:], "_score"])
 
     schema = ", ".join([f"`{name}` {kind}" for name, kind in docs.dtypes if name in keep] + ["`_score` double"])
-    read = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), *(F.col(f"`{c}`") for c in docs.columns if c in keep))
+    read = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias(fresh(docs, "_text")[0]), *(F.col(f"`{c}`") for c in docs.columns if c in keep))
     return read.mapInArrow(score, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tideline.llm.decontaminate import contained
 from tideline.llm.frames import table
 from tideline.llm.html_blocks import extract
+from tideline.llm.line_windows import dedupe_lines
 from tideline.llm.quality import held_out, scored, train
 from tideline.llm.secrets import secret_spans
 from tideline.llm.token_counts import token_counts
@@ -20,6 +21,42 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document left after repeated three-line windows are gone."""
+    left = dedupe_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select(
+        "doc_id",
+        F.col("_n_lines").alias("n_lines"),
+        F.col("_n_removed").alias("n_removed"),
+        F.size("_spans").cast("long").alias("n_spans"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
+OP5_SQL = """
+WITH d AS (
+  SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS a FROM documents
+), w AS (
+  SELECT doc_id, p, array_to_string(a[p:p + 2], chr(10)) AS s FROM (SELECT doc_id, a, unnest(range(1, len(a) - 1)) AS p FROM d)
+), ranked AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM w WHERE NOT regexp_full_match(s, '[ \t\n\f\r]*')
+), gone AS (
+  SELECT DISTINCT doc_id, unnest([p, p + 1, p + 2]) AS q FROM ranked WHERE k > 1
+), tally AS (
+  SELECT g.doc_id, count(*) AS n_removed, count(*) FILTER (WHERE b.q IS NULL) AS n_spans
+  FROM gone g LEFT JOIN gone b ON b.doc_id = g.doc_id AND b.q = g.q - 1 GROUP BY g.doc_id
+), lines AS (
+  SELECT doc_id, unnest(range(1, len(a) + 1)) AS q, unnest(a) AS line FROM d
+), kept AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.q) AS t
+  FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.q = l.q WHERE g.q IS NULL GROUP BY l.doc_id
+)
+SELECT d.doc_id, len(a)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN tally USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten-word windows of benchmark items in every document."""
     found = contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -62,9 +99,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_main_text": op1_main_text,
+    "op5_line_windows": op5_line_windows,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_line_windows": OP5_SQL}
