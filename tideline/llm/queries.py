@@ -9,6 +9,7 @@ from tideline.llm.decontaminate import contained
 from tideline.llm.frames import table
 from tideline.llm.html_blocks import extract
 from tideline.llm.line_windows import dedupe_lines
+from tideline.llm.mixing import mix
 from tideline.llm.quality import held_out, scored, train
 from tideline.llm.secrets import secret_spans
 from tideline.llm.token_counts import token_counts
@@ -21,6 +22,19 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document in a mix of sources by weight."""
+    mixed = mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return mixed.select(
+        "doc_id",
+        F.col("_size").alias("size"),
+        F.col("_source_size").alias("source_size"),
+        F.col("_target").alias("target"),
+        F.col("_taken").alias("taken"),
+        F.col("_rate").alias("rate"),
+    )
+
+
 def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document left after repeated three-line windows are gone."""
     left = dedupe_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -99,6 +113,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_main_text": op1_main_text,
+    "op2_mixing": op2_mixing,
     "op5_line_windows": op5_line_windows,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
