@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,9 +59,8 @@ def parts_for(spark: SparkSession, size: int, each: int = 16 * MB) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / each))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage with files in ``spark.checkpoint.dir``, which all executors share."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate files may go: ``spark.checkpoint.dir``, a folder that all executors share."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -69,4 +69,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage of a small table with a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts lineage of a large table with a Parquet table in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.frames import checkpointed, keyed
+from tideline.llm.frames import keyed, stored
 
 HEAD = 1 << 19
 HEAD_CHARS = 64
@@ -82,7 +82,7 @@ def token_counts(docs: DataFrame, model: str, id_column: str = "doc_id", text: s
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counted, pa.int64())], ["pre", "n", "pieces"])
 
     distinct = rows.select("text").mapInArrow(frequencies, "pre string, n long").groupBy("pre").agg(F.sum("n").alias("n"))
-    counted = checkpointed(distinct.mapInArrow(pieces, "pre string, n long, pieces long"))
+    counted = stored(distinct.mapInArrow(pieces, "pre string, n long, pieces long"))
 
     head = context.broadcast(_head(counted))
 
