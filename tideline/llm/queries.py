@@ -10,6 +10,7 @@ from tideline.llm.frames import table
 from tideline.llm.html_blocks import extract
 from tideline.llm.line_windows import dedupe_lines
 from tideline.llm.mixing import mix
+from tideline.llm.nn_descent import nearest
 from tideline.llm.quality import held_out, scored, train
 from tideline.llm.secrets import secret_spans
 from tideline.llm.token_counts import token_counts
@@ -35,6 +36,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    found = nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, top=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document left after repeated three-line windows are gone."""
     left = dedupe_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -114,6 +121,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_mixing": op2_mixing,
+    "op4_nearest": op4_nearest,
     "op5_line_windows": op5_line_windows,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
