@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 
 from tideline.llm.frames import stored
 
-DEGREE = 32
+DEGREE = 48
 TREES = 6
 PLANES = 12
 CHUNK = 2048
-ROUNDS = 2
-BEAM = 64
+SETTLED = 0.05
+BEAM = 96
 NODES_A_BUCKET = 2048
 SALTS = 16
 
@@ -214,8 +214,8 @@ def _packed(df: DataFrame) -> DataFrame:
     return df.select("id", "v").mapInArrow(pack, "id long, q binary")
 
 
-def build(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
-    """Neighbour lists of the nodes (``id``, ``q``)."""
+def build(nodes: DataFrame, degree: int = DEGREE, settled: float = SETTLED) -> DataFrame:
+    """Neighbour lists of the nodes (``id``, ``q``), improved until a round renews less than the share ``settled`` of their entries."""
     count = nodes.count()
     buckets = max(1, count // NODES_A_BUCKET)
 
@@ -223,9 +223,15 @@ def build(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataF
         return pa.Table.from_batches([_lists(*_flat(table), degree)])
 
     graph = stored(_forest(nodes, count, degree).withColumn("b", _bucket("id", buckets)).groupBy("b").applyInArrow(best, LISTS))
-    for seed in range(rounds):
+    marks = F.length("fresh")
+    new = F.length(F.replace(F.hex("fresh"), F.lit("00"), F.lit(""))) / 2
+    seed = 0
+    while True:
         graph = stored(_descend(graph, nodes, degree, buckets, seed))
-    return graph
+        share = graph.agg((F.sum(new) / F.sum(marks)).alias("share")).first()["share"]
+        if share is None or share < settled:
+            return graph
+        seed += 1
 
 
 STATE = "id long, q binary, ids binary, scores binary, fresh binary"
