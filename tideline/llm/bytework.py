@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -35,6 +37,17 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], text: int | str, limit: int = 2 * SPAN) -> Iterator[pa.RecordBatch]:
+    """The batches cut between rows so that none has more than ``limit`` bytes of text, but for single long texts."""
+    for batch in batches:
+        _, off = buffers(batch.column(text))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(off, off[at] + limit, side="right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads every bit of 64-bit values over all others."""
     h = h ^ (h >> np.uint64(30))

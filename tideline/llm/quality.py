@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.bytework import buffers, runs_of, shingle_hashes, slice_hashes
+from tideline.llm.bytework import buffers, runs_of, shingle_hashes, slice_hashes, sliced
 from tideline.llm.frames import fresh, keyed
 
 SAMPLE = 20_000
@@ -206,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_column:
     picked = rows.join(F.broadcast(marked), "k1").select("k1", "k2", "y", "text")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             x = statistics(batch.column("text")).astype("<f4")
             flat = pa.array([row.tobytes() for row in x], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k1", "k2", "y")), flat], ["k1", "k2", "y", "x"])
@@ -223,7 +223,7 @@ def scored(docs: DataFrame, trees: Trees, text: str = "text", keep: list[str] |
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Trees(*shipped.value)
-        for batch in batches:
+        for batch in sliced(batches, 0):
             found = model.scores(statistics(batch.column(0)))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.float64())], [*batch.schema.names[1:], "_score"])
 
