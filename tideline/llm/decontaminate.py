@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.bytework import buffers, shingle_hashes, word_hashes
+from tideline.llm.bytework import buffers, shingle_hashes, sliced, word_hashes
 from tideline.llm.frames import checkpointed, keyed
 
 WINDOW = 10
@@ -120,7 +120,7 @@ def contained(
     rows = keyed(docs, id_column, text)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             _, _, owner, h = word_hashes(*buffers(batch.column("text")))
             for n in lengths:
                 s = shingle_hashes(h, n)
@@ -144,7 +144,7 @@ def contained(
     kept = context.broadcast(_bitmap(filed.select("h").distinct()))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             data, off = buffers(batch.column("text"))
             starts, ends, owner, h = word_hashes(data, off)
             first = np.searchsorted(owner, np.arange(len(off)))

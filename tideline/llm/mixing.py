@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.bytework import buffers
+from tideline.llm.bytework import buffers, sliced
 from tideline.llm.frames import LAST_ID, checkpointed, fresh
 
 WEIGHTS = (3, 1, 2)
@@ -50,7 +50,7 @@ def sized(docs: DataFrame, text: str, carry: list[str], size: str) -> DataFrame:
     """The columns ``carry`` and the word count ``size``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 0):
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(word_counts(batch.column(0)), pa.int64())], [*batch.schema.names[1:], size])
 
     schema = ", ".join([*(f"`{c}` {kind}" for c, kind in docs.dtypes if c in carry), f"`{size}` long"])

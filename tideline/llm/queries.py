@@ -11,6 +11,7 @@ from tideline.llm.html_blocks import extract
 from tideline.llm.line_windows import dedupe_lines
 from tideline.llm.mixing import mix
 from tideline.llm.nn_descent import nearest
+from tideline.llm.prefix_free import remove_repeats
 from tideline.llm.quality import held_out, scored, train
 from tideline.llm.secrets import secret_spans
 from tideline.llm.token_counts import token_counts
@@ -36,6 +37,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document left without 50-byte strings of earlier documents."""
+    left = remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every vector whose id is divisible by 20."""
     found = nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, top=20)
@@ -121,6 +130,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_mixing": op2_mixing,
+    "op3_repeats": op3_repeats,
     "op4_nearest": op4_nearest,
     "op5_line_windows": op5_line_windows,
     "op7_decontaminate": op7_decontaminate,
