@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 SPAN = 1 << 20
+BITS = 1 << 26
 _RNG = np.random.default_rng(20_240_101)
 BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 BYTE_LOWER = BYTE.copy()
@@ -118,3 +119,9 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     for j in range(1, size):
         h = h * np.uint64(PRIME) + words[j : j + n]
     return mix(h + np.uint64(size))
+
+
+def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes may be among those of the bitmap."""
+    low = h & np.uint64(BITS - 1)
+    return (bits.view(np.uint64)[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1

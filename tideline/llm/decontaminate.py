@@ -7,7 +7,7 @@ dropped if any of its shingles occurs nowhere. Document positions with a filed s
 those windows; the shingle's offset and the window's length must fit between the document's
 ends (positional and length bounds), and the words are then compared one by one.
 
-Which shingles matter is told to the scanning tasks by a bitmap of fixed size (``BITS``),
+Which shingles matter is told to the scanning tasks by a bitmap of fixed size (``BITS`` of them),
 whatever the size of the benchmark; its false hits die in the join. Windows are salted, so a
 passage that a third of all documents share is not one task's work.
 """
@@ -21,12 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.bytework import buffers, shingle_hashes, sliced, word_hashes
-from tideline.llm.frames import checkpointed, keyed
+from tideline.llm.bytework import buffers, in_bitmap, shingle_hashes, sliced, word_hashes
+from tideline.llm.frames import bitmap, checkpointed, keyed
 
 WINDOW = 10
 SHINGLE = 3
-BITS = 1 << 26
 SALTS = 16
 
 
@@ -66,25 +65,6 @@ def _windows(items: DataFrame, item_column: str, text: str, window: int) -> Data
     )
 
 
-def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """Bits of the hashes in ``h``: a fixed size, so it may be sent to every task."""
-    words = (
-        hashes.select(F.expr(f"shiftright({BITS - 1}L & h, 6)").alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
-        .groupBy("word")
-        .agg(F.bit_or("bit").alias("bits"))
-        .collect()
-    )
-    out = np.zeros(BITS >> 6, np.int64)
-    for row in words:
-        out[row["word"]] = row["bits"]
-    return out
-
-
-def _inside(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    low = h & np.uint64(BITS - 1)
-    return (bits.view(np.uint64)[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
-
-
 def _covered(spans: Column) -> Column:
     """Words under sorted spans of (start, end)."""
     zero = F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n"))
@@ -116,7 +96,7 @@ def contained(
     windows = checkpointed(_windows(items, item_column, item_text, window))
     marks = windows.select(F.explode("marks").alias("m")).select("m.h", "m.n").distinct()
     lengths = sorted(r["n"] for r in marks.select("n").distinct().collect())  # SHINGLE values at most
-    asked = context.broadcast(_bitmap(marks))
+    asked = context.broadcast(bitmap(marks))
     rows = keyed(docs, id_column, text)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +104,7 @@ def contained(
             _, _, owner, h = word_hashes(*buffers(batch.column("text")))
             for n in lengths:
                 s = shingle_hashes(h, n)
-                s = s[(owner[: len(s)] == owner[n - 1 :]) & _inside(asked.value, s)]
+                s = s[(owner[: len(s)] == owner[n - 1 :]) & in_bitmap(asked.value, s)]
                 values, times = np.unique(s, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(times.astype(np.int64))], ["h", "times"])
 
@@ -141,7 +121,7 @@ def contained(
         .select("words", "size", F.col("m.h").alias("h"), F.col("m.o").alias("o"), F.col("m.n").alias("n"))
         .join(windows.select("words", "item").distinct(), "words")
     )
-    kept = context.broadcast(_bitmap(filed.select("h").distinct()))
+    kept = context.broadcast(bitmap(filed.select("h").distinct()))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -151,7 +131,7 @@ def contained(
             doc, at, mark, lead, near = [], [], [], [], []
             for n in lengths:
                 s = shingle_hashes(h, n)
-                for p in np.flatnonzero((owner[: len(s)] == owner[n - 1 :]) & _inside(kept.value, s)).tolist():
+                for p in np.flatnonzero((owner[: len(s)] == owner[n - 1 :]) & in_bitmap(kept.value, s)).tolist():
                     d = int(owner[p])
                     a, b = max(int(first[d]), p - window + 1), min(int(first[d + 1]), p + window)
                     doc.append(d)

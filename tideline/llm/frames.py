@@ -6,9 +6,12 @@ import math
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.llm.bytework import BITS
+
 #: Null ids rank behind every other id.
 LAST_ID = (1 << 63) - 1
 MB = 1 << 20
@@ -83,3 +86,17 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """Bits of the hashes in ``h``: a fixed size, so it may be sent to every task."""
+    words = (
+        hashes.select(F.expr(f"shiftright({BITS - 1}L & h, 6)").alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+        .groupBy("word")
+        .agg(F.bit_or("bit").alias("bits"))
+        .collect()
+    )
+    out = np.zeros(BITS >> 6, np.int64)
+    for row in words:
+        out[row["word"]] = row["bits"]
+    return out

@@ -9,6 +9,7 @@ from tideline.llm.decontaminate import contained
 from tideline.llm.frames import table
 from tideline.llm.html_blocks import extract
 from tideline.llm.line_windows import dedupe_lines
+from tideline.llm.lsh_forest import near_duplicates
 from tideline.llm.mixing import mix
 from tideline.llm.nn_descent import nearest
 from tideline.llm.prefix_free import remove_repeats
@@ -87,6 +88,12 @@ FROM d LEFT JOIN tally USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and links of every document among its near copies."""
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten-word windows of benchmark items in every document."""
     found = contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -133,6 +140,7 @@ QUERIES = {
     "op3_repeats": op3_repeats,
     "op4_nearest": op4_nearest,
     "op5_line_windows": op5_line_windows,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
