@@ -37,18 +37,19 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def keys(id_column: str, text: str) -> tuple[Column, Column]:
+    """The id, the largest possible one if null, and a hash of the text."""
+    return F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID)), F.xxhash64(text_column(text))
+
+
 def keyed(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, ``text``, ``k1`` and ``k2`` only; other columns may have any name.
 
     ``k1`` is the id, the largest possible one if null; ``k2`` tells texts under one id apart.
     Rows with the same id and text are one document wherever they stand.
     """
-    return docs.select(
-        F.col(id_column).cast("long").alias("id"),
-        text_column(text).alias("text"),
-        F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID)).alias("k1"),
-        F.xxhash64(text_column(text)).alias("k2"),
-    )
+    k1, k2 = keys(id_column, text)
+    return docs.select(F.col(id_column).cast("long").alias("id"), text_column(text).alias("text"), k1.alias("k1"), k2.alias("k2"))
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:

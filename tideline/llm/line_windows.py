@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.frames import LAST_ID, checkpointed, fresh, keyed
+from tideline.llm.frames import checkpointed, fresh, keyed, keys
 
 SIZE = 3
 BLANK = " \t\n\f\r"
@@ -113,7 +113,6 @@ def dedupe_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
             )
 
     schema = ", ".join([*(f"`{c}` {kind}" for c, kind in docs.dtypes), "`_n_lines` long, `_n_removed` long, `_spans` array<struct<start:int,end:int>>"])
-    own = F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID))
-    marked = docs.withColumns({one: own, two: F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))})
+    marked = docs.withColumns(dict(zip((one, two), keys(id_column, text), strict=True)))
     met = marked.join(later.select(F.col("k1").alias(one), F.col("k2").alias(two), F.col("at").alias(where)), [one, two], "left")
     return met.select(*(F.col(f"`{c}`") for c in names), where).mapInArrow(cut, schema)
