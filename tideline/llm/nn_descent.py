@@ -37,6 +37,7 @@ SALTS = 16
 
 I8, F4 = np.dtype("<i8"), np.dtype("<f4")
 LISTS = "id long, ids binary, scores binary, fresh binary"
+OFFER_SCHEMA = pa.schema([("b", pa.int32()), ("owners", pa.binary()), ("ids", pa.binary()), ("scores", pa.binary())])
 LIST_SCHEMA = pa.schema([("id", pa.int64()), ("ids", pa.binary()), ("scores", pa.binary()), ("fresh", pa.binary())])
 
 
@@ -72,8 +73,9 @@ def _matrix(column) -> np.ndarray:
     return raw[:, 4:].copy().view(np.int8).astype(np.float32) * raw[:, :4].copy().view(F4)
 
 
-def _lists(owner: np.ndarray, near: np.ndarray, score: np.ndarray, fresh: np.ndarray, most: int) -> pa.RecordBatch:
-    """The best ``most`` different neighbours of each owner; one that was known stays so."""
+def _lists(owner: np.ndarray, near: np.ndarray, score: np.ndarray, fresh: np.ndarray | None, most: int) -> pa.RecordBatch:
+    """The best ``most`` different neighbours of each owner; one that was known stays so. All are fresh if not told."""
+    fresh = np.ones(len(owner), np.uint8) if fresh is None else fresh
     order = np.lexsort((fresh, near, owner))
     owner, near, score, fresh = owner[order], near[order], score[order], fresh[order]
     keep = np.ones(len(owner), bool)
@@ -189,20 +191,26 @@ def _descend(graph: DataFrame, nodes: DataFrame, degree: int, buckets: int, seed
             i, j = np.nonzero(ok)
             out.append((v[a + i], v[a + j], s[i, j]))
         if not out:
-            return pa.Table.from_batches([], LIST_SCHEMA)
-        to, offer, score = map(np.concatenate, zip(*out, strict=True))
-        return pa.Table.from_batches([_lists(to, offer, score, np.ones(len(to), np.uint8), degree)])
-
-    offers = met.groupBy("b").applyInArrow(local, LISTS)
+            return pa.Table.from_batches([], OFFER_SCHEMA)
+        best = pa.Table.from_batches([_lists(*map(np.concatenate, zip(*out, strict=True)), None, degree)])
+        owner, near, score, _ = _flat(best)
+        to = _spread(owner, buckets)
+        order = np.argsort(to, kind="stable")
+        found, begin = np.unique(to[order], return_index=True)
+        cut = lambda a: pa.array([part.tobytes() for part in np.split(a[order], begin[1:])], pa.binary())
+        return pa.table([pa.array(found, pa.int32()), cut(owner), cut(near), cut(score)], schema=OFFER_SCHEMA)
+
+    # One row for each pair of buckets holds all that the nodes of one offer those of the other.
+    offers = met.groupBy("b").applyInArrow(local, "b int, owners binary, ids binary, scores binary")
 
     def merge(now: pa.Table, offered: pa.Table) -> pa.Table:
-        known, more = _flat(now), _flat(offered)
-        marks = np.zeros(len(known[3]), np.uint8)
-        owner, near, score, fresh = (np.concatenate(p) for p in zip((*known[:3], marks), more, strict=True))
+        read = lambda c, kind: np.frombuffer(b"".join(offered[c].to_pylist()), kind)
+        known, more = _flat(now), (read("owners", I8), read("ids", I8), read("scores", F4))
+        owner, near, score = (np.concatenate(p) for p in zip(known[:3], more, strict=True))
+        fresh = np.r_[np.zeros(len(known[0]), np.uint8), np.ones(len(more[0]), np.uint8)]
         return pa.Table.from_batches([_lists(owner, near, score, fresh, degree)])
 
-    with_bucket = lambda df: df.withColumn("b", _bucket("id", buckets)).groupBy("b")
-    return with_bucket(graph).cogroup(with_bucket(offers)).applyInArrow(merge, LISTS)
+    return _by_spread(graph, buckets).groupBy("b").cogroup(offers.groupBy("b")).applyInArrow(merge, LISTS)
 
 
 def _packed(df: DataFrame) -> DataFrame:
