@@ -79,6 +79,17 @@ def phrases(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np
     return mix(least[starts]), starts, np.flatnonzero(last)
 
 
+def _shared_trigger(data: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
+    """Whether another phrase of the dictionary has the same trigger."""
+    if not len(sizes):
+        return np.zeros(0, bool)
+    h = np.r_[_trigger_hashes(data), np.zeros(TRIGGER, np.uint64)]
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    trigger = np.minimum.reduceat(h, np.stack([begin, begin + length - TRIGGER + 1], axis=1).ravel())[::2]
+    _, place, times = np.unique(trigger, return_inverse=True, return_counts=True)
+    return times[place] > 1
+
+
 def suffix_ranks(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Rank of each suffix by its first ``length`` (33 to 64) bytes; zeros follow the end."""
     padded = np.zeros(len(data) + 128, np.uint64)
@@ -226,20 +237,27 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
         begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         own, least, _, at = _folded(ids, low, high)
         n = sizes[at]
-        dictionary = _gather(read("bytes", np.uint8), begin[at], n)
+        content = read("bytes", np.uint8)
         windows = n - length + 1
-        starts = np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]) - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(int(windows.sum()))
-        rank = suffix_ranks(dictionary, length)[starts]
+        at_window = np.concatenate([[0], np.cumsum(windows)[:-1]])
+        flag = np.zeros(int(windows.sum()), bool)
+        # The only phrase with its trigger shares no window with another.
+        several = np.flatnonzero(_shared_trigger(_gather(content, begin[at], n), n, length))
+        if len(several):
+            some = n[several]
+            dictionary = _gather(content, begin[at][several], some)
+            starts = _gather(np.arange(len(dictionary)), np.concatenate([[0], np.cumsum(some)[:-1]]), windows[several])
+            rank = suffix_ranks(dictionary, length)[starts]
+            mine = np.repeat(least[several], windows[several])
+            place = np.argsort(rank, kind="stable")
+            new = np.flatnonzero(np.r_[True, rank[place][1:] != rank[place][:-1]])
+            first = np.empty(len(rank), np.int64)
+            first[place] = np.repeat(np.minimum.reduceat(mine[place], new), np.diff(np.r_[new, len(rank)]))
+            flag[_gather(np.arange(len(flag)), at_window[several], windows[several])] = first < mine
         phrase = np.repeat(np.arange(len(own)), windows)
-        place = np.argsort(rank, kind="stable")
-        new = np.flatnonzero(np.r_[True, rank[place][1:] != rank[place][:-1]])
-        first = np.empty(len(rank), np.int64)
-        first[place] = np.repeat(np.minimum.reduceat(least[phrase][place], new), np.diff(np.r_[new, len(rank)]))
-        flag = first < least[phrase]
         flagged = np.bincount(phrase, flag, len(own)) > 0
         to = np.searchsorted(own, ids)
         useful = flagged[to] | (high > least[to])
-        at_window = np.concatenate([[0], np.cumsum(windows)[:-1]])
         made = []
         for b, p in _groups(bucket[useful]):
             q = to[useful][p]
