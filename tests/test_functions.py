@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from tideline.functions.buckets import home_region, level_tier, locale_region, payer_flag
 from tideline.functions.dates import day_index, half_month_start, in_days
-from tideline.functions.numbers import pct_change, ratio, round_half_away
+from tideline.functions.numbers import pct_change, ratio, round_half_away, round_ratio
 from tideline.functions.text import (
     cell_text, comma_list, escape_cell, form_value, metric_label, trim_space,
 )
@@ -26,6 +26,17 @@ def test_rounding_is_half_away_from_zero(spark, value, digits, expected):
     assert got == expected and str(got) == str(expected)
 
 
+@pytest.mark.parametrize(
+    "n, d, expected", [("4.05", 30, 0.14), ("23", 40, 0.58), ("-23", 40, -0.58), ("1", 3, 0.33), ("0", 7, 0.0), ("5", 0, None), ("1.15", 1, 1.15)]
+)
+def test_quotients_are_rounded_exactly(spark, n, d, expected):
+    assert one(spark, round_ratio(F.lit(Decimal(n)), F.lit(d), 2)) == expected
+
+
+def test_percentages_are_rounded_exactly(spark):
+    assert one(spark, pct_change(F.lit(103.0), F.lit(160.0))) == -35.63
+
+
 def test_ratio_without_base_is_null(spark):
     assert one(spark, ratio(F.lit(1), F.lit(0))) is None
     assert one(spark, ratio(F.lit(1), F.lit(None).cast("int"))) is None

@@ -6,11 +6,11 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from tideline.checks.relations import EVENTS, ORDERS, days, pct, rnd, run_dates, statement
+from tideline.checks.relations import EVENTS, ORDERS, days, pct, rnd, rnd_ratio, run_dates, statement
 from tideline.checks.report_sql import HALF, TIER, lifecycle_ctes, main_kpi_slice, movement_ctes
 from tideline.functions.buckets import home_region, level_tier, locale_region, payer_flag
 from tideline.functions.dates import day_index, half_month_start
-from tideline.functions.numbers import pct_change, ratio, round_half_away
+from tideline.functions.numbers import pct_change, round_half_away, round_ratio
 from tideline.functions.text import comma_list, escape_cell, form_value, metric_label
 from tideline.operators import aggregates, levels
 from tideline.operators.actives import rolling_distinct, trailing_sums
@@ -427,7 +427,7 @@ def _(spark, d):
 
 
 @check("agg_hours", EVENTS, {}, f"""
-SELECT dt, is_video, {rnd("(CAST(sum(seconds) AS DOUBLE) / 3600e0)", 2)} AS hours FROM streams GROUP BY ALL""")
+SELECT dt, is_video, {rnd_ratio("sum(seconds)", "3600", 2)} AS hours FROM streams GROUP BY ALL""")
 def _(spark, d):
     return EventsWorld(spark, d)["streaming"].groupBy(F.to_date("start_time").alias("dt"), "is_video").agg(
         aggregates.hours(F.sum("duration")).alias("hours")
@@ -461,7 +461,7 @@ BY_SERIES = "OVER (PARTITION BY status, metric ORDER BY dt"
 
 def _mean(rows: int) -> str:
     frame = f"{BY_SERIES} ROWS BETWEEN {rows} PRECEDING AND 1 PRECEDING)"
-    return rnd(f"(CAST(sum(value) {frame} AS DOUBLE) / nullif(count(value) {frame}, 0))", 2)
+    return rnd_ratio(f"sum(value) {frame}", f"count(value) {frame}", 2)
 
 
 WINDOWED = {
@@ -511,7 +511,7 @@ for _name, _columns in {
 SELECT dt, status, metric, value, {pct("value", "previous_day")} AS dod_pct,
        {pct("value", "last_week")} AS wow_pct, {pct("value", "previous_7d_avg")} AS vs_7d_avg_pct,
        {pct("value", "previous_30d_avg")} AS vs_30d_avg_pct,
-       {rnd("((value - previous_30d_avg) / nullif(previous_30d_stddev, 0))", 2)} AS z_score_30d
+       {rnd_ratio("CAST(value AS DECIMAL(20,4)) - CAST(previous_30d_avg AS DECIMAL(20,4))", "previous_30d_stddev", 2)} AS z_score_30d
 FROM packed""")
 def _(spark, d):
     compared = comparison_pack(baseline_pack(_series(spark, d), ["status"]))
@@ -574,8 +574,8 @@ def _(spark, d):
 SELECT d.doc_id, d.lang, d.source, d.n_chars, d.text, l.quality, l.toxic
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
 }, f"""
-SELECT doc_id, coalesce(quality, -1) AS quality, {rnd("(CAST(n_chars AS DOUBLE) / nullif(toxic, 0))", 4)} AS chars_per_toxic,
-       {pct("CAST(n_chars AS DOUBLE)", "nullif(CAST(quality AS DOUBLE), 0)")} AS change_pct,
+SELECT doc_id, coalesce(quality, -1) AS quality, {rnd_ratio("n_chars", "toxic", 4)} AS chars_per_toxic,
+       {pct("n_chars", "quality")} AS change_pct,
        replace(replace(text, '|', '\\|'), chr(10), ' ') AS escaped,
        replace(lang || '_' || source, '_', ' ') AS label,
        CAST(len(list_filter(string_split(text, ','), lambda x: trim(x, chr(9) || chr(10) || chr(11) || chr(12) || chr(13)
@@ -593,7 +593,7 @@ def _(spark, d):
     return t.select(
         "doc_id",
         F.coalesce("quality", F.lit(-1)).alias("quality"),
-        round_half_away(ratio(F.col("n_chars"), F.col("toxic")), 4).alias("chars_per_toxic"),
+        round_ratio(F.col("n_chars"), F.col("toxic"), 4).alias("chars_per_toxic"),
         pct_change(F.col("n_chars"), F.col("quality")).alias("change_pct"),
         escape_cell(F.col("text")).alias("escaped"),
         metric_label(F.concat("lang", F.lit("_"), "source"), F.lit("  ")).alias("label"),

@@ -160,8 +160,15 @@ def rnd(x: str, digits: int) -> str:
     return f"(sign({x}) * floor(abs({x}) * {scale} + 0.5e0) / {scale} + 0e0)"
 
 
+def rnd_ratio(num: str, den: str, digits: int) -> str:
+    """A quotient of numbers of up to four decimals, rounded in whole ten-thousandths."""
+    n, d = (f"CAST(CAST({x} AS DECIMAL(24,4)) * 10000 AS HUGEINT)" for x in (num, den))
+    d = f"nullif({d}, 0)"
+    return f"(CAST(sign({n}) * sign({d}) * ((2 * abs({n}) * {10**digits} + abs({d})) // (2 * abs({d}))) AS DOUBLE) / 1e{digits} + 0e0)"
+
+
 def pct(value: str, base: str) -> str:
-    return rnd(f"(({value} / nullif({base}, 0) - 1e0) * 1e2)", 2)
+    return rnd_ratio(f"(CAST({value} AS DECIMAL(20,4)) - CAST({base} AS DECIMAL(20,4))) * 100", base, 2)
 
 
 def days(first: str, last: str, name: str = "dt") -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.checks.relations import EVENTS, ORDERS, days, pct, rnd, run_dates, statement
+from tideline.checks.relations import EVENTS, ORDERS, days, pct, rnd, rnd_ratio, run_dates, statement
 
 COMPARED = (
     "previous_day, last_week, previous_7d_avg, previous_30d_avg, previous_30d_stddev, "
@@ -23,7 +23,7 @@ def compare(dims: list[str], scale: int = 2, carry: list[str] | None = None) ->
     def mean(n: int) -> str:
         near = f"FILTER (WHERE p.pos >= c.pos - {n})"
         total, rows = f"sum(p.value) {near}", f"count(p.value) {near}"
-        return rnd(f"(CAST({total} AS DOUBLE) / nullif({rows}, 0))", scale)
+        return rnd_ratio(total, rows, scale)
 
     shown = ", ".join([*keys, "dt", *carry])
     return {
@@ -44,7 +44,7 @@ SELECT {shown}, CAST(value AS DOUBLE) AS value, previous_day, last_week, previou
        {pct("CAST(value AS DOUBLE)", "last_week")} AS wow_pct,
        {pct("CAST(value AS DOUBLE)", "previous_7d_avg")} AS vs_7d_avg_pct,
        {pct("CAST(value AS DOUBLE)", "previous_30d_avg")} AS vs_30d_avg_pct,
-       {rnd("((CAST(value AS DOUBLE) - previous_30d_avg) / nullif(previous_30d_stddev, 0))", 2)} AS z_score_30d
+       {rnd_ratio("CAST(value AS DECIMAL(20,4)) - CAST(previous_30d_avg AS DECIMAL(20,4))", "previous_30d_stddev", 2)} AS z_score_30d
 FROM packed""",
     }
 
@@ -126,8 +126,8 @@ def streamer_activity() -> tuple[dict, str]:
         "watched": f"""
 SELECT dt, count(DISTINCT user_id) FILTER (WHERE is_video) AS video_das,
        count(DISTINCT user_id) FILTER (WHERE NOT is_video) AS voice_das,
-       {rnd("(CAST(sum(CASE WHEN is_video THEN seconds ELSE 0 END) AS DOUBLE) / 3600e0)", 2)} AS video_duration,
-       {rnd("(CAST(sum(CASE WHEN is_video THEN 0 ELSE seconds END) AS DOUBLE) / 3600e0)", 2)} AS voice_duration
+       {rnd_ratio("sum(CASE WHEN is_video THEN seconds ELSE 0 END)", "3600", 2)} AS video_duration,
+       {rnd_ratio("sum(CASE WHEN is_video THEN 0 ELSE seconds END)", "3600", 2)} AS voice_duration
 FROM streams GROUP BY dt""",
         "wide": "SELECT x.run, x.dt, w.* EXCLUDE (dt) FROM axis x LEFT JOIN watched w ON w.dt = x.dt",
         "long": unioned(metrics, "wide", "run, dt"),
@@ -191,8 +191,8 @@ FROM spenders""",
 
 def _stickiness(active: str) -> tuple[dict, str]:
     metrics = {
-        "dau/rolling_wau": rnd("(CAST(dau AS DOUBLE) / nullif(wau, 0))", 2),
-        "dau/rolling_mau": rnd("(CAST(dau AS DOUBLE) / nullif(mau, 0))", 2),
+        "dau/rolling_wau": rnd_ratio("dau", "wau", 2),
+        "dau/rolling_mau": rnd_ratio("dau", "mau", 2),
         "rolling_7d_wau": "wau",
         "rolling_30d_mau": "mau",
     }
@@ -319,12 +319,11 @@ def movement_ctes(bought_sql: str, dims: list[str], streams: list[str], axis_day
             f"coalesce(sum({s}) FILTER (WHERE b.dt BETWEEN x.dt - 60 AND x.dt - 31), 0) AS {s}_b",
         ]
         a, b = f"{s}_a", f"{s}_b"
-        third = "(CAST(coalesce({}, 0) AS DOUBLE) / 30e0)"
         moved += [
-            f"{rnd(f'CAST(sum({s}_t) AS DOUBLE)', 2)} AS {s}_new",
-            rnd(third.format(f"sum({a} - {b}) FILTER (WHERE {a} >= {b} AND {b} > 0)"), 2) + f" AS {s}_expansion",
-            rnd(third.format(f"sum({b} - {a}) FILTER (WHERE {a} < {b} AND {a} > 0)"), 2) + f" AS {s}_contraction",
-            rnd(third.format(f"sum({b}) FILTER (WHERE {b} > 0 AND {a} = 0)"), 2) + f" AS {s}_churned",
+            f"{rnd_ratio(f'sum({s}_t)', '1', 2)} AS {s}_new",
+            rnd_ratio(f"coalesce(sum({a} - {b}) FILTER (WHERE {a} >= {b} AND {b} > 0), 0)", "30", 2) + f" AS {s}_expansion",
+            rnd_ratio(f"coalesce(sum({b} - {a}) FILTER (WHERE {a} < {b} AND {a} > 0), 0)", "30", 2) + f" AS {s}_contraction",
+            rnd_ratio(f"coalesce(sum({b}) FILTER (WHERE {b} > 0 AND {a} = 0), 0)", "30", 2) + f" AS {s}_churned",
         ]
     return {
         "mrr_axis": axis(axis_days),

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.numbers import round_half_away
+from tideline.functions.numbers import round_ratio
 
 
 def daily_distinct(
@@ -56,7 +56,7 @@ def merge_user_days(
 
 
 def hours(seconds: Column) -> Column:
-    return round_half_away(seconds.cast("double") / F.lit(3600.0), 2)
+    return round_ratio(seconds, F.lit(3600), 2)
 
 
 def exact_percentiles(

@@ -9,7 +9,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.numbers import round_half_away
+from tideline.functions.numbers import MONEY, round_ratio
 from tideline.operators.actives import on_days
 
 SPAN = 30
@@ -80,9 +80,9 @@ def per_day(moves: DataFrame, keys: Sequence[str], streams: Sequence[str]) -> Da
     out = []
     for s in streams:
         for move in MOVES:
-            total = F.coalesce(F.col(f"{s}_{move}").cast("double"), F.lit(0.0))
-            daily = total if move == "new" else total / F.lit(float(SPAN))
-            out.append(round_half_away(daily, 2).alias(f"{s}_{move}"))
+            total = F.coalesce(F.col(f"{s}_{move}"), F.lit(0))
+            days = F.lit(1 if move == "new" else SPAN)
+            out.append(round_ratio(total, days, 2).alias(f"{s}_{move}"))
     return moves.select(*keys, *out)
 
 
@@ -145,7 +145,7 @@ def revenue_changes(
     opening = others if opening is None else opening
     pays = F.lit(True) if pays is None else pays
     amounts = {
-        name: F.coalesce((F.col(source) * 100).cast("bigint"), nothing) for name, source in streams.items()
+        name: F.coalesce((F.col(source).cast(MONEY) * 100).cast("bigint"), nothing) for name, source in streams.items()
     }
     start = F.greatest(F.col("dt"), F.lit(first))
     age = F.datediff(start, F.col("dt"))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.numbers import METRIC, pct_change, ratio, round_half_away
+from tideline.functions.numbers import EXACT, METRIC, pct_change, round_half_away, round_ratio
 
 BASELINES = (
     "previous_day",
@@ -45,8 +45,8 @@ def baseline_pack(long: DataFrame, dims: Sequence[str] = (), scale: int = 2) ->
     """Previous day, same weekday, trailing means and spread, per series ordered by day.
 
     Frames count rows, so on a dense axis they count days. All five share one window
-    specification: one shuffle, one sort. Sums run on exact decimals; only the final
-    division is floating point.
+    specification: one shuffle, one sort. Sums and means are exact; only the spread is
+    floating point.
     """
     series = Window.partitionBy(*dims, "metric").orderBy("dt")
     week = series.rowsBetween(-7, -1)
@@ -54,7 +54,7 @@ def baseline_pack(long: DataFrame, dims: Sequence[str] = (), scale: int = 2) ->
     value = F.col("value")
 
     def trailing_mean(frame) -> Column:
-        return round_half_away(ratio(F.sum(value).over(frame), F.count(value).over(frame)), scale)
+        return round_ratio(F.sum(value).over(frame), F.count(value).over(frame), scale)
 
     spread = F.stddev_samp(value.cast("double")).over(month)
     packed = long.withColumns(
@@ -72,14 +72,14 @@ def baseline_pack(long: DataFrame, dims: Sequence[str] = (), scale: int = 2) ->
 def comparison_pack(packed: DataFrame) -> DataFrame:
     """Percentage changes and z-score against the (already rounded) baselines."""
     value = F.col("value")
-    gap = value - F.col("previous_30d_avg")
+    gap = value.try_cast(EXACT) - F.col("previous_30d_avg").try_cast(EXACT)
     return packed.withColumns(
         {
             "dod_pct": pct_change(value, F.col("previous_day")),
             "wow_pct": pct_change(value, F.col("last_week")),
             "vs_7d_avg_pct": pct_change(value, F.col("previous_7d_avg")),
             "vs_30d_avg_pct": pct_change(value, F.col("previous_30d_avg")),
-            "z_score_30d": round_half_away(ratio(gap, F.col("previous_30d_stddev")), 2),
+            "z_score_30d": round_ratio(gap, F.col("previous_30d_stddev"), 2),
         }
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.buckets import home_region
 from tideline.functions.dates import in_days
-from tideline.functions.numbers import ratio, round_half_away
+from tideline.functions.numbers import round_ratio
 from tideline.operators.actives import rolling_distinct
 from tideline.operators.joins import attach_user_dim
 from tideline.operators.series import baseline_pack, comparison_pack, to_long
@@ -33,8 +33,8 @@ def _stickiness(spark, active: DataFrame, user: str, runs: Runs) -> DataFrame:
     wide = rolling_distinct(spark, active, first, runs.last_report, ["region"], user)
     dau = F.col("active_1d")
     metrics = {
-        "dau/rolling_wau": round_half_away(ratio(dau, F.col("active_7d")), 2),
-        "dau/rolling_mau": round_half_away(ratio(dau, F.col("active_30d")), 2),
+        "dau/rolling_wau": round_ratio(dau, F.col("active_7d"), 2),
+        "dau/rolling_mau": round_ratio(dau, F.col("active_30d"), 2),
         "rolling_7d_wau": F.col("active_7d"),
         "rolling_30d_mau": F.col("active_30d"),
     }
