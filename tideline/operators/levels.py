@@ -20,7 +20,8 @@ def with_levels(days: DataFrame, user: str, lookback: int | None = None) -> Data
 
     ``days`` holds one row per user-day, level days included, with a nullable ``level``:
 
-    Levels are integers from 0 up:
+    Levels are integers from 0 up, and rows with a level have a user (callers see to that, as
+    a NULL user matches no other):
 
     * ``asof_level`` / ``asof_level_dt``: the latest level on or before the day, NULL when
       it is more than ``lookback`` days old;
@@ -77,7 +78,7 @@ def period_to_date_level(activity: DataFrame, levels: DataFrame, user: str) -> D
 
 def _log(activity: DataFrame, levels: DataFrame, user: str) -> DataFrame:
     both = activity.select("dt", user, F.lit(True).alias("_active")).unionByName(
-        levels.select("dt", user, "level"), allowMissingColumns=True
+        levels.where(F.col(user).isNotNull()).select("dt", user, "level"), allowMissingColumns=True
     )
     return both.groupBy("dt", user).agg(
         F.coalesce(F.bool_or("_active"), F.lit(False)).alias("_active"), F.max("level").alias("level")

@@ -19,8 +19,12 @@ USER_DAY = ("dt", "userid")
 
 
 def level_rows(src: Sources, first, last) -> DataFrame:
-    """Logged levels: ``dt, userid, level``; whoever merges them keeps the day's highest."""
-    return src["crown_level_log"].where(in_days(F.col("datecreated"), first, last)).select(
+    """Logged levels: ``dt, userid, level``; whoever merges them keeps the day's highest.
+
+    A level without a user belongs to nobody: unknown users are not one user.
+    """
+    known = src["crown_level_log"].where(in_days(F.col("datecreated"), first, last) & F.col("userid").isNotNull())
+    return known.select(
         F.to_date("datecreated").alias("dt"), "userid", F.col("crown_level").alias("level")
     )
 
@@ -37,8 +41,10 @@ def main_kpi_slice(spark: SparkSession, src: Sources, runs: Runs) -> DataFrame:
         .distinct()
         .select(*USER_DAY, (F.col("bars_spent") > 0).alias("spender"), F.lit(1).alias("times"))
     )
+    # Sales without a user pay for no active one; activity without a user still counts its tuple.
+    sales = settled_sales(src, first, last).where(F.col("userid").isNotNull())
     log = merge_user_days(
-        [spends, settled_sales(src, first, last), level_rows(src, runs.back(77), last)],
+        [spends, sales, level_rows(src, runs.back(77), last)],
         USER_DAY,
         {
             "times": F.sum("times"),
