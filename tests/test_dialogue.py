@@ -114,19 +114,21 @@ def test_normalise_rules(spark):
     assert rows(got) == [("context", "a"), ("context", "b"), ("context", "c")]
 
 
-def test_budget_keeps_a_prefix(spark):
-    data = [("p", i, "中" * 10) for i in range(20)] + [("p", -1, "x" * 241), ("p", -2, "a\nb"), ("q", 1, "z")]
+def test_budget_accounts_for_every_item(spark):
+    data = [("p", i, "中" * 10) for i in range(20)] + [("p", -1, "x" * 241), ("p", -2, "a\nb"), ("q", 1, "z"), (None, 1, "n")]
     items = spark.createDataFrame(data, "product string, id int, text string")
-    by_bytes = budgeted_selection(items, "text", ["id"], ["product"], max_bytes=95)
-    assert rows(by_bytes, "product", "id") == [("p", 0), ("p", 1), ("p", 2), ("q", 1)]
-    assert budgeted_selection(items, "text", ["id"], ["product"]).where("product = 'p'").count() == 12
-    assert budgeted_selection(items, "text", ["id"]).count() == 12
+    judged = budgeted_selection(items, "text", ["id"], ["product"], max_items=12, max_bytes=95, max_chars=240)
+    assert rows(judged.where("status = 'kept'"), "product", "id") == [("p", 0), ("p", 1), ("p", 2), ("q", 1), (None, 1)]
+    assert rows(judged.groupBy("status").count()) == [
+        ("kept", 5), ("over bytes", 9), ("over items", 8), ("several lines", 1), ("too long", 1),
+    ]
+    assert budgeted_selection(items, "text", ["id", "product"], max_items=12, max_bytes=8000, max_chars=240).where("status = 'kept'").count() == 12
 
 
 def test_item_limit_applies_before_the_shuffle(spark):
     items = spark.createDataFrame([("p", 1, "x")], "product string, id int, text string")
-    plan = budgeted_selection(items, "text", ["id"], ["product"])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2
+    judged = budgeted_selection(items, "text", ["id"], ["product"], max_items=12, max_bytes=8000, max_chars=240)
+    assert judged._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
 
 
 def test_labels(spark):

@@ -6,7 +6,7 @@ import pytest
 
 from tests.conftest import rows
 from tests.test_dialogue import TYPED, action, submission
-from tideline.streaming.ingest import ingest_feedback, work_dir
+from tideline.streaming.ingest import ingest_feedback, ingest_recent, work_dir
 
 LOG = "body string, received_at timestamp_ntz"
 START = datetime(2024, 1, 1, 12)
@@ -45,13 +45,33 @@ def test_late_rows_are_kept(spark, tmp_path):
     assert [r[0] for r in drain(spark, source, sink, checkpoint)] == ["e0", "e1"]
 
 
-def test_state_based_dedupe_within_its_horizon(spark, tmp_path):
-    source, sink = str(tmp_path / "log"), str(tmp_path / "out")
-    write(spark, source, (positive("e1"), 0), (positive("e1"), 5), (positive("e2"), 6))
+def test_recent_dedupe_keeps_late_rows(spark, tmp_path):
+    source, sink, checkpoint = (str(tmp_path / n) for n in ("log", "out", "progress"))
+
+    def drain_recent():
+        stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(source)
+        ingest_recent(stream, sink, checkpoint, days=2, available_now=True).awaitTermination()
+        return [r[0] for r in rows(spark.read.parquet(sink), "event_id")]
+
+    year = 60 * 24 * 365
+    write(spark, source, (positive("e1"), year), (positive("e1"), year + 5), (positive("e2"), year + 6))
+    assert drain_recent() == ["e1", "e2"]
+    # A year late, and a retry a day after its first row.
+    write(spark, source, (positive("e0"), 0), (positive("e2"), year + 60 * 24))
+    assert drain_recent() == ["e0", "e1", "e2"]
+
+
+def test_feedback_without_an_event_id_is_kept(spark, tmp_path):
+    source, sink, checkpoint = (str(tmp_path / n) for n in ("log", "out", "progress"))
+
+    def by(user):
+        body = positive(None)
+        return body | {"user": {"id": user}}
+
+    write(spark, source, (by("U1"), 0), (by("U2"), 1), (by("U3"), 2), (by("U1"), 3))
     stream = spark.readStream.schema(LOG).parquet(source)
-    query = ingest_feedback(stream, sink, str(tmp_path / "progress"), horizon="1 day", available_now=True)
-    query.awaitTermination()
-    assert rows(spark.read.parquet(sink), "event_id") == [("e1",), ("e2",)]
+    ingest_feedback(stream, sink, checkpoint, available_now=True).awaitTermination()
+    assert rows(spark.read.parquet(sink), "user_id") == [("U1",), ("U2",), ("U3",)]
 
 
 def session_like(setting, master):

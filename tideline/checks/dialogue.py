@@ -66,13 +66,13 @@ def _budget(spark, d):
         "main_kpi_slice": REPORT_QUERIES["rpt_main_kpi_slice"](spark, d),
         "dailyactives": OrdersWorld(spark, d)["dailyactives"],
     }
-    rows = [budget_status(df).select(F.lit(n).alias("result"), "*") for n, df in results.items()]
+    rows = [budget_status(df, 200).select(F.lit(n).alias("result"), "*") for n, df in results.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 QUERIES["row_budget_guard"] = _budget
 ORACLE["row_budget_guard"] = " UNION ALL ".join(
-    f"SELECT '{name}' AS result, least(count(*), 201) AS rows_seen, count(*) <= 200 AS within_budget FROM ({sql})"
+    f"SELECT '{name}' AS result, count(*) AS rows_seen, count(*) <= 200 AS within_budget FROM ({sql})"
     for name, sql in {
         "lifecycle_mrr_tier": REPORT_ORACLE["rpt_lifecycle_mrr_tier"],
         "main_kpi_slice": REPORT_ORACLE["rpt_main_kpi_slice"],
@@ -125,12 +125,17 @@ def _(spark, d):
 SELECT lang, doc_id, row_number() OVER w AS position, sum(strlen(text)) OVER w AS bytes_so_far
 FROM fits WINDOW w AS (PARTITION BY lang ORDER BY source, doc_id ROWS UNBOUNDED PRECEDING)""",
 }, """
-SELECT lang, doc_id, CAST(position AS INTEGER) AS position, CAST(bytes_so_far AS BIGINT) AS bytes_so_far
-FROM placed WHERE position <= 12 AND bytes_so_far <= 900""")
+SELECT d.lang, d.doc_id, CAST(CASE WHEN position <= 12 THEN position END AS INTEGER) AS position,
+       CAST(CASE WHEN position <= 12 THEN bytes_so_far END AS BIGINT) AS bytes_so_far,
+       CASE WHEN length(text) > 240 THEN 'too long' WHEN contains(text, chr(10)) THEN 'several lines'
+            WHEN position > 12 THEN 'over items' WHEN bytes_so_far > 900 THEN 'over bytes' ELSE 'kept' END AS status
+FROM documents d LEFT JOIN placed p ON p.doc_id = d.doc_id""")
 def _(spark, d):
     items = EventsWorld(spark, d).table("documents").select("lang", "source", "doc_id", "text")
-    kept = knowledge.budgeted_selection(items, "text", ["source", "doc_id"], ["lang"], max_bytes=900)
-    return kept.select("lang", "doc_id", "position", "bytes_so_far")
+    judged = knowledge.budgeted_selection(
+        items, "text", ["source", "doc_id"], ["lang"], max_items=12, max_bytes=900, max_chars=240
+    )
+    return judged.select("lang", "doc_id", "position", "bytes_so_far", "status")
 
 
 @check("resolve_labels", {
@@ -347,8 +352,6 @@ def _(spark, d):
 @check("stream_watermark_dedupe", LOG, STREAMED)
 def _(spark, d):
     sink = ingest.work_dir(spark, "feedback")
-    query = ingest.ingest_feedback(
-        _log_stream(spark, d), sink, ingest.work_dir(spark, "progress"), horizon="60 days", available_now=True
-    )
+    query = ingest.ingest_recent(_log_stream(spark, d), sink, ingest.work_dir(spark, "progress"), days=60, available_now=True)
     query.awaitTermination()
     return spark.read.parquet(sink).select(*STREAM_COLUMNS)

@@ -35,17 +35,19 @@ def parse_interactions(log: DataFrame, body: str = "body") -> DataFrame:
     """
     carried = [c for c in log.columns if c != body]
     text = F.coalesce(form_value(F.col(body), "payload"), F.col(body))
-    parsed = log.select(*carried, F.from_json(text, PAYLOAD).alias("p"))
+    # An object without a type is valid, only nobody acts on it.
+    is_object = F.try_parse_json(text).isNotNull() & F.startswith(F.ltrim(text), F.lit("{"))
+    parsed = log.select(*carried, F.from_json(text, PAYLOAD).alias("p"), is_object.alias("json"))
     action = F.try_element_at(F.col("p.actions"), F.lit(1))
     view = F.col("p.view")
     meta = F.from_json(F.col("p.view.private_metadata"), METADATA)
     staged = parsed.select(
-        *carried, "p", action.alias("action"), view.alias("view"), meta.alias("meta")
+        *carried, "p", "json", action.alias("action"), view.alias("view"), meta.alias("meta")
     )
     is_block = F.col("p.type") == "block_actions"
     is_view = (F.col("p.type") == "view_submission") & (F.col("view.callback_id") == CALLBACK_CORRECTION)
     kind = (
-        F.when(F.col("p.type").isNull(), "invalid")
+        F.when(~F.coalesce(F.col("json"), F.lit(False)), "invalid")
         .when(is_block & (F.col("action.action_id") == ACTION_POSITIVE), "positive")
         .when(is_block & (F.col("action.action_id") == ACTION_CORRECTION), "correction_open")
         .when(is_block & (F.col("action.action_id") == ACTION_REPLAY_NEXT), "replay_next")
@@ -99,7 +101,9 @@ def review_gate(feedback: DataFrame, catalog: DataFrame) -> DataFrame:
         many(correction & ~F.coalesce(settled, F.lit(False))).alias("unresolved"),
     )
     used = catalog.select(F.col("id").alias("rule"), F.lit(True).alias("in_use"))
-    checked = folded.join(used, "rule", "left")
+    # Rows without a rule, most of them, have nothing to look up and would all share one key.
+    ruled = folded.where(F.col("rule").isNotNull()).join(used, "rule", "left")
+    checked = ruled.unionByName(folded.where(F.col("rule").isNull()), allowMissingColumns=True)
     counts = ["positives", "incorporated", "rejected", "unresolved"]
     unpublished = F.count(F.when((F.col("incorporated") > 0) & F.col("in_use").isNull(), 1))
     gate = checked.groupBy("run_id").agg(

@@ -15,10 +15,7 @@ CATEGORIES = ("metric_logic", "formatting", "context", "investigation")
 FALLBACK_CATEGORY = "context"
 DEFAULT_SOURCE = "manual"
 LABEL_SEPARATOR = "、"
-
-MAX_ITEMS = 12
-MAX_BYTES = 8000
-MAX_CHARS = 240
+SALTS = 16
 
 
 def active_guidelines(guidelines: DataFrame) -> DataFrame:
@@ -50,26 +47,36 @@ def budgeted_selection(
     text: str,
     order: Sequence[str],
     group: Sequence[str] = (),
-    max_items: int = MAX_ITEMS,
-    max_bytes: int = MAX_BYTES,
-    max_chars: int = MAX_CHARS,
+    *,
+    max_items: int,
+    max_bytes: int,
+    max_chars: int,
 ) -> DataFrame:
-    """The longest prefix of each group's items that fits both budgets.
+    """Every item with its ``status``: ``kept`` for the longest prefix of its group that fits
+    both budgets, else why it is left out (``too long``, ``several lines``, ``over items``,
+    ``over bytes``); ``position`` and ``bytes_so_far`` for the first ``max_items`` eligible ones.
 
-    An item with more than ``max_chars`` characters or several lines is not eligible.
-    Ranking keeps ``max_items`` per group: Spark applies that limit before the shuffle,
-    so a group never arrives whole. The byte total then runs over those few.
+    ``order`` tells the items of a group apart. Ranking keeps ``max_items`` per group: Spark
+    applies that limit before the shuffle, so a group never arrives whole. The byte total runs
+    over those few, which then meet all items by group and order.
     """
     keys = list(group) or [F.lit(0)]
-    fits = (F.length(text) <= max_chars) & ~F.contains(F.col(text), F.lit("\n"))
+    several = F.contains(F.col(text), F.lit("\n"))
+    why = F.when(F.length(text) > max_chars, "too long").when(several, "several lines")
     ranking = Window.partitionBy(*keys).orderBy(*order)
     so_far = ranking.rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        items.where(fits)
+    ranked = (
+        items.where(why.isNull())
         .withColumn("position", F.row_number().over(ranking))
         .where(F.col("position") <= max_items)
         .withColumn("bytes_so_far", F.sum(F.octet_length(text)).over(so_far))
-        .where(F.col("bytes_so_far") <= max_bytes)
+    )
+    own = list(dict.fromkeys([*group, *order]))
+    marks = ranked.select(*[F.col(c).alias(f"_{c}") for c in own], "position", "bytes_so_far")
+    met = items.join(marks, [items[c].eqNullSafe(marks[f"_{c}"]) for c in own], "left")
+    late = F.when(F.col("position").isNull(), "over items").when(F.col("bytes_so_far") > max_bytes, "over bytes")
+    return met.select(
+        *items.columns, "position", "bytes_so_far", F.coalesce(why, late, F.lit("kept")).alias("status")
     )
 
 
@@ -78,7 +85,7 @@ def resolve_labels(catalog: DataFrame) -> DataFrame:
 
     Supported names resolve to labels of the catalog, in their own order; a name the
     catalog lacks is shown with spaces for underscores. A name supported by a large
-    share of all entries is looked up once: names fold before they join.
+    share of all entries is looked up once, and its label comes back over ``SALTS`` keys.
     """
     labels = catalog.select("name", metric_label(F.col("name"), F.col("description")).alias("label"))
     wanted = catalog.select("name", F.posexplode("supports").alias("pos", "target"))
@@ -88,8 +95,10 @@ def resolve_labels(catalog: DataFrame) -> DataFrame:
         "left",
     )
     spelled: Column = F.coalesce("target_label", F.replace("target", F.lit("_"), F.lit(" ")))
+    salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     joined = (
-        wanted.join(known, "target")
+        wanted.withColumn("_salt", F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int"))
+        .join(salted, ["target", "_salt"])
         .groupBy("name")
         .agg(F.array_sort(F.collect_list(F.struct("pos", spelled.alias("label")))).alias("found"))
         .select("name", F.array_join(F.col("found.label"), LABEL_SEPARATOR).alias("supports_label"))
