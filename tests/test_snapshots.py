@@ -1,4 +1,4 @@
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,17 +6,17 @@ from pyspark.sql import functions as F
 from tests.conftest import SAMPLE, day, rows
 from tideline.sources.sample import EventsWorld
 from tideline.sources.snapshots import (
-    RowBudgetExceeded, budget_status, guard_rows, read_snapshot, save_payload, snapshot_reports, to_cells,
-    write_snapshot,
+    RowBudgetExceeded, budget_status, guard_rows, latest_payloads, read_snapshot, run_status, save_payload,
+    snapshot_reports, to_cells, write_snapshot,
 )
 from tideline.sources.warehouse import SCHEMAS, Warehouse, conform
 
 
 def test_budget_passes_exactly_at_the_limit(spark):
-    assert guard_rows(spark.range(200)).count() == 200
+    assert guard_rows(spark.range(200), 200).count() == 200
     with pytest.raises(RowBudgetExceeded, match="200"):
-        guard_rows(spark.range(201))
-    assert rows(budget_status(spark.range(5000), 3)) == [(4, False)]
+        guard_rows(spark.range(201), 200)
+    assert rows(budget_status(spark.range(5000), 3)) == [(5000, False)]
 
 
 def test_cells_of_wide_and_long_results(spark):
@@ -34,17 +34,48 @@ def test_one_failing_report_leaves_the_others_alone(spark, tmp_path):
     names = ["main_kpi_flat", "stickiness_locale"]
     errors = snapshot_reports(spark, src, world.run_date, path, names)
     assert list(errors) == ["stickiness_locale"]
-    stored = read_snapshot(spark, path)
-    assert rows(stored.where("error is not null"), "query") == [("stickiness_locale",)]
-    assert stored.where("query = 'main_kpi_flat'").select("row_no").distinct().count() == 4
+    status = {r["query"]: r.status for r in run_status(spark, path).collect()}
+    assert status == {"main_kpi_flat": "stored", "stickiness_locale": "failed"}
+    assert read_snapshot(spark, path).where("query = 'main_kpi_flat'").select("row_no").distinct().count() == 4
 
 
-def test_budget_failure_is_an_error_row(spark, tmp_path):
+def test_a_failed_job_is_isolated_and_keeps_earlier_cells(spark, tmp_path):
     world = EventsWorld(spark, SAMPLE)
+    path, names = str(tmp_path / "cells"), ["stickiness_locale", "main_kpi_flat"]
+    src = {n: world[n] for n in ("dailyactives", "store_transaction", "users_data")}
+    assert not snapshot_reports(spark, src, world.run_date, path, names)
+    before = rows(read_snapshot(spark, path))
+    broken = tmp_path / "users"
+    conform(world["users_data"], "users_data").write.parquet(str(broken))
+    src["users_data"] = spark.read.parquet(str(broken))
+    for part in broken.glob("*.parquet"):
+        part.write_bytes(b"PAR1 not a table")
+    for last in (None, world.run_date - timedelta(days=1)):
+        assert list(snapshot_reports(spark, src, world.run_date, path, names, last_report=last)) == ["stickiness_locale"]
+    assert rows(read_snapshot(spark, path)) == before
+
+
+def test_both_routes_store_the_same_cells_whatever_their_number(spark, tmp_path):
+    world = EventsWorld(spark, SAMPLE)
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    assert "max_rows=3" in snapshot_reports(spark, world, world.run_date, one, ["main_kpi_flat"], max_rows=3)["main_kpi_flat"]
+    snapshot_reports(spark, world, world.run_date, many, ["main_kpi_flat"], last_report=world.run_date - timedelta(days=1))
+    assert rows(read_snapshot(spark, one)) == rows(read_snapshot(spark, many)) != []
+
+
+def test_an_empty_rerun_clears_its_day(spark, tmp_path):
     path = str(tmp_path / "cells")
-    errors = snapshot_reports(spark, world, world.run_date, path, ["main_kpi_flat"], max_rows=3)
-    assert "max_rows=3" in errors["main_kpi_flat"]
-    assert read_snapshot(spark, path).count() == 1
+    result = spark.createDataFrame([("dau", 2.0)], "metric string, value double")
+    write_snapshot(to_cells(result, "q", ["metric"], day(0)), path, [day(0)], "q")
+    write_snapshot(to_cells(result, "other", ["metric"], day(0)), path, [day(0)], "other")
+    write_snapshot(to_cells(result.limit(0), "q", ["metric"], day(0)), path, [day(0)], "q")
+    assert rows(read_snapshot(spark, path).select("query").distinct()) == [("other",)]
+
+
+def test_the_last_payload_of_a_run_counts(spark):
+    data = [("r1", "context", day(0), "a", 1), ("r1", "context", day(0), "b", 2), ("r1", "report", day(0), "c", 1), ("r2", "context", day(1), "d", 1)]
+    df = spark.createDataFrame(data, "run_id string, kind string, report_date date, payload string, saved_at int")
+    assert rows(latest_payloads(df), "run_id", "kind", "payload") == [("r1", "context", "b"), ("r1", "report", "c"), ("r2", "context", "d")]
 
 
 def test_rerun_replaces_its_own_day_only(spark, tmp_path):

@@ -1,41 +1,37 @@
-"""Result snapshots: every report's rows as text cells, with failures kept as rows."""
+"""Result snapshots: every report's rows as text cells, and a log of how its runs ended."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import time
+from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, timedelta
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.text import cell_text
+from tideline.operators.levels import latest_per_key
 
-MAX_ROWS = 200
 CELLS = (
     "report_date date, query string, row_no int, column string, value string, "
     "row_metric string, error string"
 )
+RUNS = "report_date date, query string, status string, error string, saved_at bigint"
 
 
 class RowBudgetExceeded(ValueError):
     """A result is larger than a report may be."""
 
 
-def budget_status(df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Rows seen (at most one beyond the budget) and whether the result fits."""
+def budget_status(df: DataFrame, max_rows: int) -> DataFrame:
+    """How many rows a result has and whether that fits."""
     seen = F.count(F.lit(1))
-    return df.limit(max_rows + 1).agg(
-        seen.alias("rows_seen"), (seen <= max_rows).alias("within_budget")
-    )
-
+    return df.agg(seen.alias("rows_seen"), (seen <= max_rows).alias("within_budget"))
 
-def guard_rows(df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Fail, never truncate, when a result has more than ``max_rows`` rows.
 
-    Looks at one row beyond the budget at most, so an oversized result is noticed
-    without being computed in full where Spark can stop early.
-    """
+def guard_rows(df: DataFrame, max_rows: int) -> DataFrame:
+    """Fail, never truncate, when a result has more than ``max_rows`` rows."""
     status = budget_status(df, max_rows).first()
     if not status["within_budget"]:
         raise RowBudgetExceeded(f"result exceeds max_rows={max_rows}; aggregate further")
@@ -75,22 +71,9 @@ def to_cells(df: DataFrame, query: str, order: Iterable, report_date=None) -> Da
     )
 
 
-def error_cell(spark: SparkSession, query: str, report_date: date, error: str) -> DataFrame:
-    """The one row that stands for a failed report."""
-    row = spark.range(0, 1, 1, 1)
-    return row.select(
-        F.lit(report_date).alias("report_date"),
-        F.lit(query).alias("query"),
-        F.lit(0).alias("row_no"),
-        F.lit("").alias("column"),
-        F.lit("").alias("value"),
-        F.lit("").alias("row_metric"),
-        F.lit(error).alias("error"),
-    )
-
-
-def write_snapshot(cells: DataFrame, path: str) -> None:
-    """Replace exactly the (report date, query) partitions present in ``cells``.
+def write_snapshot(cells: DataFrame, path: str, days: Iterable[date] = (), query: str | None = None) -> None:
+    """Replace exactly the (report date, query) partitions present in ``cells``, and empty
+    those of ``query`` on ``days`` for which it has no rows.
 
     Rerunning a day is idempotent: its partitions are overwritten, others stay.
     """
@@ -100,42 +83,92 @@ def write_snapshot(cells: DataFrame, path: str) -> None:
         .partitionBy("report_date", "query")
         .parquet(path)
     )
+    if days := set(days):
+        # One row a day of the range.
+        filled = {r["report_date"] for r in cells.select("report_date").distinct().collect()}
+        for day in days - filled:
+            empty = cells.drop("report_date", "query").limit(0).coalesce(1)
+            empty.write.mode("overwrite").parquet(f"{path}/report_date={day.isoformat()}/query={query}")
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CELLS).parquet(path)
 
 
+def _log_run(spark: SparkSession, path: str, query: str, days: Iterable[date], error: str | None) -> None:
+    """A line for each day of a run; Spark's readers of cells pass over the underscore folder."""
+    status = "failed" if error else "stored"
+    lines = [(day, query, status, error, time.time_ns()) for day in days]
+    spark.createDataFrame(lines, RUNS).coalesce(1).write.mode("append").parquet(f"{path}/_runs")
+
+
+def run_status(spark: SparkSession, path: str) -> DataFrame:
+    """How the last run of each report and day ended; its cells are those of the last good run."""
+    runs = spark.read.schema(RUNS).parquet(f"{path}/_runs")
+    return latest_per_key(runs, ["report_date", "query"], "saved_at", ["status", "error"])
+
+
+def store_report(
+    spark: SparkSession, result: Callable[[], DataFrame], name: str, order: Iterable, days: list[date],
+    path: str, max_rows: int | None = None,
+) -> str | None:
+    """Compute one report and store its cells; returns the error, if it has one.
+
+    Whatever goes wrong is this report's own: it is logged, and the cells of earlier runs
+    stay. A result over ``max_rows`` a day is stored in full and reported as an error.
+    """
+    error = None
+    try:
+        rows = result()
+        report_date = days[0] if len(days) == 1 else None
+        cells = to_cells(rows, name, order, report_date).persist()
+        try:
+            write_snapshot(cells, path, days, name)
+            if max_rows is not None:
+                most = cells.groupBy("report_date").agg(F.max("row_no").alias("n")).agg(F.max("n")).first()[0]
+                if (most or 0) > max_rows:
+                    error = f"result has {most} rows a day, more than max_rows={max_rows}; aggregate further"
+        finally:
+            cells.unpersist()
+    except Exception as problem:  # noqa: BLE001 - any failure is isolated, that of a job too
+        error = (str(problem).splitlines() or [type(problem).__name__])[0]
+    _log_run(spark, path, name, days, error)
+    return error
+
+
 def snapshot_reports(
     spark: SparkSession,
     sources: Mapping[str, DataFrame],
     run_date: date,
     path: str,
     names: Iterable[str] | None = None,
-    max_rows: int = MAX_ROWS,
+    max_rows: int | None = None,
+    last_report: date | None = None,
+    at_once: int = 4,
 ) -> dict[str, str]:
-    """Run reports for one date and store their cells; returns the errors by report.
+    """Run reports for one date, or for all report days up to ``last_report``, and store
+    their cells; returns the errors by report.
 
-    One report's failure, a missing table or a broken budget, becomes its error row and
-    leaves the others alone.
+    Independent reports are submitted ``at_once`` at a time. One report's failure leaves
+    the others, and the cells it stored before, alone.
     """
-    from tideline.plans.registry import REPORTS, run_report
+    from tideline.plans.registry import REPORTS, backfill, run_report
 
-    errors: dict[str, str] = {}
-    report_date = run_date - timedelta(days=1)
-    for name in names or REPORTS:
-        try:
-            # Persisted: the guard and the sink read one computation.
-            result = run_report(spark, name, sources, run_date).persist()
-            try:
-                cells = to_cells(guard_rows(result, max_rows), name, REPORTS[name].sort_keys(), report_date)
-                write_snapshot(cells, path)
-            finally:
-                result.unpersist()
-        except (PySparkException, RowBudgetExceeded, KeyError, AttributeError) as problem:
-            errors[name] = str(problem).splitlines()[0]
-            write_snapshot(error_cell(spark, name, report_date, errors[name]), path)
-    return errors
+    first = run_date - timedelta(days=1)
+    days = [first + timedelta(days=n) for n in range(((last_report or first) - first).days + 1)]
+
+    def one(name: str) -> str | None:
+        def result() -> DataFrame:
+            if last_report is None:
+                return run_report(spark, name, sources, run_date)
+            return backfill(spark, name, sources, first, last_report)
+
+        return store_report(spark, result, name, REPORTS[name].sort_keys(), days, path, max_rows)
+
+    names = list(names or REPORTS)
+    with ThreadPoolExecutor(at_once) as pool:
+        found = dict(zip(names, pool.map(one, names), strict=True))
+    return {name: error for name, error in found.items() if error}
 
 
 PAYLOADS = "run_id string, report_date date, kind string, payload string, saved_at timestamp"
@@ -143,7 +176,7 @@ PAYLOADS = "run_id string, report_date date, kind string, payload string, saved_
 
 def save_payload(df: DataFrame, kind: str, path: str) -> None:
     """Append run payloads (``run_id, report_date, payload``) of one kind: input,
-    context, report or validation."""
+    context, report or validation. The last one of a run and kind counts."""
     (
         df.select(
             "run_id",
@@ -156,3 +189,8 @@ def save_payload(df: DataFrame, kind: str, path: str) -> None:
         .partitionBy("report_date", "kind")
         .parquet(path)
     )
+
+
+def latest_payloads(payloads: DataFrame) -> DataFrame:
+    """The last payload of each run and kind."""
+    return latest_per_key(payloads, ["run_id", "kind"], "saved_at", ["report_date", "payload"])
