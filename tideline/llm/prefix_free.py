@@ -226,7 +226,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
         made = []
         for k, p in _groups(a[at]):
             n = sizes[at][p]
-            made.append((k, b, _raw(ids[p]), _raw(low[p]), _raw(high[p]), _raw(n.astype(np.uint32)), _raw(_gather(content, begin[at][p], n))))
+            made.append((k, b, _raw(ids[p]), _raw(low[p]), _raw(high[p]), _raw(n.astype(np.uint32)), pa.compress(_raw(_gather(content, begin[at][p], n)), codec="zstd", asbytes=True)))
         return _table(made, SENT)
 
     def order(table: pa.Table) -> pa.Table:
@@ -237,7 +237,9 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
         begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         own, least, _, at = _folded(ids, low, high)
         n = sizes[at]
-        content = read("bytes", np.uint8)
+        whole = [int(np.frombuffer(x, np.uint32).sum()) for x in table["sizes"].to_pylist()]
+        packed = table["bytes"].to_pylist()
+        content = np.frombuffer(b"".join(pa.decompress(x, n, codec="zstd", asbytes=True) for x, n in zip(packed, whole, strict=True)), np.uint8)
         windows = n - length + 1
         at_window = np.concatenate([[0], np.cumsum(windows)[:-1]])
         flag = np.zeros(int(windows.sum()), bool)
