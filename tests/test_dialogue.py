@@ -163,6 +163,10 @@ def cells(spark):
         (json.dumps(document(anomaly={"investigation_plan": []})), False),
         (json.dumps(document(anomaly={"evidence": []})), False),
         (json.dumps(document(summary=" ")), False),
+        (json.dumps(document(insights=None)), False),
+        (json.dumps(document(failed_metrics=None)), False),
+        (json.dumps(document(anomaly={"metric": None})), False),
+        (json.dumps(document(anomaly={"detail": None})), False),
         ("[]", False),
         ("not json", False),
     ],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 REPORT = (
@@ -61,12 +61,11 @@ def judge_evidence(evidence: DataFrame, cells: DataFrame) -> DataFrame:
 def citable(cells: DataFrame) -> DataFrame:
     """Distinct cell keys of results without an error, marked ``found``.
 
-    A day's result of one query is at most a row budget wide, so the window that looks
-    for an error row stays small.
+    Failed results are found by a fold, one row for each day and query, so the cells of a
+    wide result never meet in one task.
     """
-    result = Window.partitionBy("report_date", "query")
-    failed = F.bool_or(F.col("error").isNotNull()).over(result)
-    good = cells.withColumn("_failed", failed).where(~F.col("_failed"))
+    failed = cells.where(F.col("error").isNotNull()).select("report_date", "query").distinct()
+    good = cells.join(failed, ["report_date", "query"], "left_anti")
     return good.select(*CELL_KEY).distinct().withColumn("found", F.lit(True))
 
 
@@ -78,8 +77,9 @@ def evidence_failures(evidence: DataFrame, cells: DataFrame) -> DataFrame:
 def reconcile(parsed: DataFrame, cells: DataFrame) -> DataFrame:
     """Per report: counts and whether it passes.
 
-    It passes when its body parsed, the summary is not empty, every anomaly has a plan
-    and evidence, and every citation matches.
+    It passes when its body parsed with insights and failed metrics (empty lists will do), the
+    summary is not empty, every anomaly has a metric, a detail, a plan and evidence, and every
+    citation matches.
     """
 
     def blank(items: Column) -> Column:
@@ -90,11 +90,17 @@ def reconcile(parsed: DataFrame, cells: DataFrame) -> DataFrame:
         "run_id",
         "report_date",
         F.struct(
-            F.col("report").isNotNull().alias("parsed"),
+            F.coalesce(
+                F.col("report.insights").isNotNull() & F.col("report.failed_metrics").isNotNull(), F.lit(False)
+            ).alias("parsed"),
             F.coalesce(F.length(F.trim("report.summary")) > 0, F.lit(False)).alias("summarised"),
             F.size(anomalies).cast("bigint").alias("anomalies"),
             F.size(
-                F.filter(anomalies, lambda a: blank(a["investigation_plan"]) | blank(a["evidence"]))
+                F.filter(
+                    anomalies,
+                    lambda a: blank(a["investigation_plan"]) | blank(a["evidence"])
+                    | a["metric"].isNull() | a["detail"].isNull(),
+                )
             ).cast("bigint").alias("incomplete"),
         ).alias("shape"),
         F.explode_outer(F.flatten(F.transform(anomalies, lambda a: a["evidence"]))).alias("cited"),
