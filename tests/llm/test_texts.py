@@ -165,3 +165,26 @@ def test_secrets_match_the_patterns(spark):
     assert by[10].spans == f"random:4:{4 + len(key)}" and by[11].spans == ""
     assert all(r.spans == r.base for r in out if r.id != 10)
     assert secret_spans(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_random_tokens_are_found_amid_many_names(spark):
+    rnd = random.Random(7)
+    syllables = "ka lo mi ter son ver ing sta tion pre fix list map name user data get set load file path time zone type open read code item".split()
+
+    def name(n):
+        mark, out = rnd.choice(["_", "-", "/", "", None]), ""
+        while len(out) < n:
+            word = "".join(rnd.choices(syllables, k=rnd.randint(1, 3)))
+            out += word.capitalize() if mark is None else word + mark
+            out += str(rnd.randint(0, 99)) if rnd.random() < 0.1 else ""
+        return out[:n]
+
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    kinds = {"base62": base64[:62], "base32": base64[:26] + "234567", "base64": base64}
+    rows = [(f"{kind} {n}", "".join(rnd.choices(symbols, k=n))) for kind, symbols in kinds.items() for n in (20, 32, 48, 64) for _ in range(12)]
+    rows += [("name", name(rnd.choice((20, 24, 32, 48, 64)))) for _ in range(2856)]  # one in 21 is random
+    found = [r.id for r in secret_spans(spark.createDataFrame(rows, "doc_id string, text string").repartition(8)).where("size(random) > 0").select("id").collect()]
+    assert found.count("name") <= 0.01 * len(found)
+    for kind in kinds:
+        short, long = (sum(x in [f"{kind} {n}" for n in sizes] for x in found) for sizes in ((20,), (32, 48, 64)))
+        assert short >= 9 and long >= 33, (kind, short, long)
