@@ -42,6 +42,21 @@ def test_odd_pages_do_not_crash(html):
     assert isinstance(main_text(html, grow_tree())[0], str)
 
 
+@pytest.mark.parametrize(
+    "start, whole",
+    [
+        ('<main class="content with-sidebar">', True), ('<article class="post has-related">', True), ('<div class="entry-content has-sidebar">', True),
+        ('<div class="container has-sidebar"><div class="text">', True), ('<article class="post sidebar-left nav-open">', True),
+        ('<div class="entry-content sidebar-right">', True), ('<main class="search">', True), ('<article class="post tag-search no-comments">', True),
+        ('<article class="has-header">', True), ('<div class="sidebar-left">', False), ('<div class="main-sidebar-left">', False),
+        ('<div class="has-main-nav related">', False), ('<article class="comment">', False), ('<div class="main-navigation">', False),
+    ],
+)
+def test_layout_words_do_not_mark_the_article(start, whole):
+    text, _ = main_text(f"<html><body>{start}<p>{'word ' * 40}</p><p>{'more ' * 30}</p>", grow_tree())
+    assert len(text.split()) == (70 if whole else 0)
+
+
 def test_neighbours_are_described():
     found = blocks("<p>a b <a>c d</a></p><p>e</p>")
     assert [(b[0], b[1], b[2]) for b in found] == [("a b c d", 4, 2), ("e", 1, 0)]

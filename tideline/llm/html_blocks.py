@@ -40,6 +40,12 @@ HINT = re.compile(
 #: Such words that only count outside an article, where they may be part of it.
 OUTSIDE = re.compile(r"(?:^|[^a-z])(?:header|masthead|topbar|top-?bar|site-?info)(?:$|[^a-z])")
 BODY_HINT = re.compile(r"(?:^|[^a-z])(?:article|article-?body|post-?(?:body|content)|entry-?content|story-?body|main)(?:$|[^a-z])")
+#: Words that tell what a container has beside or in it: has-sidebar, post-with-comments. They never mark the container itself.
+HAVING = re.compile(r"(?<![a-z0-9-])(?:[a-z0-9-]*-)?(?:has|with|without|no)-[a-z0-9-]+")
+#: Words that tell the layout or topic of an article that bears them (sidebar-left, nav-open, tag-search), but may name another container.
+LAYOUT = re.compile(
+    r"(?<![a-z0-9-])(?:(?:category|tag|format|topic)-[a-z0-9-]+|[a-z0-9-]+-(?:left|right|open|opened|closed|collapsed|expanded|enabled|disabled|on|off))(?![a-z0-9-])"
+)
 
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')|=)*+)>", re.S)
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|style|hidden|aria-hidden|aria-label)(?=[\s=/]|$)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -114,6 +120,17 @@ def is_content(tree, features: tuple) -> bool:
     return tree == 1
 
 
+def _own_marks(name: str, marks: str) -> tuple[bool, str]:
+    """Whether an element with these marks may be the article, and those that speak of the element itself."""
+    marks = HAVING.sub(" ", marks)
+    rest = LAYOUT.sub(lambda m: " " if HINT.search(m[0]) or OUTSIDE.search(m[0]) else m[0], marks)
+    if name == "main":
+        return True, ""
+    if name == "article" or name not in ("body", "html") and BODY_HINT.search(rest):
+        return True, rest
+    return False, marks
+
+
 def blocks(html: str) -> list[tuple]:
     """Text, words, link words, in an article, in boilerplate, heading: of each block that isn't blank."""
     found: list[tuple] = []
@@ -197,6 +214,7 @@ def blocks(html: str) -> list[tuple]:
                     hidden = True
                 elif key in ("class", "id", "role"):
                     marks += " " + re.sub(r"[\s_]+", "-", value.strip()) if key != "class" else " " + value.replace("_", "-")
+        candidate, marks = _own_marks(name, marks) if marks else (name in ("article", "main"), marks)
         if name in HIDDEN:
             hidden = True
         elif name in BOILER:
@@ -208,7 +226,7 @@ def blocks(html: str) -> list[tuple]:
         elif not article and (name == "header" or marks and OUTSIDE.search(marks)):
             # A page's own header; what an article in it holds is still the article's.
             boiler = True
-        if name in ("article", "main") or marks and BODY_HINT.search(marks) and name not in ("body", "html"):
+        if candidate:
             if not boiler or not article and stack[-1][2] and not any(x[0] in BOILER for x in stack) and not HINT.search(marks):
                 article, boiler = True, False
         stack.append((name, article, boiler, hidden))
