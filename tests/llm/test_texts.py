@@ -57,6 +57,18 @@ def test_layout_words_do_not_mark_the_article(start, whole):
     assert len(text.split()) == (70 if whole else 0)
 
 
+@pytest.mark.parametrize(
+    "start",
+    [
+        "<body>\u0130<SCRIPT>x</SCRIPT>", "<body>\u0130<STYLE>x</STYLE>", "<head><title>\u0130</TITLE></head><body>", "<head><title>T</title>",
+        "<head><meta charset=x><link rel=y><script>z</script>", "<head><title>T</title><a name=top></a>", "<head><title>T</title>Bare text",
+    ],
+)
+def test_the_rest_of_a_page_is_kept(start):
+    text, _ = main_text(f"<html>{start}<p>{'word ' * 40}</p><p>{'more ' * 30}</p>", grow_tree())
+    assert text.split("\n")[-2:] == [("word " * 40).strip(), ("more " * 30).strip()]
+
+
 def test_neighbours_are_described():
     found = blocks("<p>a b <a>c d</a></p><p>e</p>")
     assert [(b[0], b[1], b[2]) for b in found] == [("a b c d", 4, 2), ("e", 1, 0)]

@@ -27,6 +27,7 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript iframe template xmp noembed noframes".split())
 HIDDEN = frozenset("head svg math button select datalist object canvas audio video dialog".split())
+HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())  # what leaves the head open
 BOILER = frozenset("nav footer aside form menu search".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -47,6 +48,7 @@ LAYOUT = re.compile(
     r"(?<![a-z0-9-])(?:(?:category|tag|format|topic)-[a-z0-9-]+|[a-z0-9-]+-(?:left|right|open|opened|closed|collapsed|expanded|enabled|disabled|on|off))(?![a-z0-9-])"
 )
 
+RAW_END = {name: re.compile("</" + name, re.I | re.A) for name in RAW}
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')|=)*+)>", re.S)
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|style|hidden|aria-hidden|aria-label)(?=[\s=/]|$)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
@@ -139,7 +141,6 @@ def blocks(html: str) -> list[tuple]:
     # Open containers: name, in an article, in boilerplate, hidden.
     stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
     link = heading = False
-    lower = None
 
     def close_block() -> None:
         nonlocal parts, linked
@@ -150,7 +151,13 @@ def blocks(html: str) -> list[tuple]:
                 found.append((" ".join(words), len(words), len(unescape(" ".join(linked)).split()), article, boiler, heading))
             parts, linked = [], []
 
+    def leave_head() -> None:
+        while len(stack) > 1 and stack[-1][0] == "head":
+            stack.pop()
+
     def take(text: str) -> None:
+        if stack[-1][0] == "head" and text.strip():
+            leave_head()
         if text and not stack[-1][3]:
             parts.append(text)
             if link:
@@ -170,11 +177,11 @@ def blocks(html: str) -> list[tuple]:
             continue
         name = name.lower()
         closing = m[1] == "/"
+        if not closing and name not in HEAD:
+            leave_head()
         if name in RAW and not closing:
-            if lower is None:
-                lower = html.lower() if len(html.lower()) == len(html) else html
-            stop = lower.find("</" + name, at)
-            at = end if stop < 0 else stop
+            stop = RAW_END[name].search(html, at)
+            at = end if stop is None else stop.start()
             continue
         if name == "a":
             link = not closing
@@ -198,9 +205,6 @@ def blocks(html: str) -> list[tuple]:
                     del stack[i:]
                     break
             continue
-        if name == "body":
-            while len(stack) > 1 and stack[-1][0] == "head":
-                stack.pop()
         if stack[-1][0] == "p" and block or name == "li" and stack[-1][0] == "li":
             stack.pop()
         if name in VOID or m[3].endswith("/") and name in HIDDEN:
