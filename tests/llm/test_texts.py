@@ -114,6 +114,18 @@ def test_quality_separates_held_out_documents(spark):
     assert (other.leaf == trees.leaf).all() and (other.threshold == trees.threshold).all()
 
 
+def test_an_id_with_many_texts_teaches_once(spark, monkeypatch):
+    docs, labels = corpus()
+    hot = next(i for i, _ in labels if i % 3 and not spark.range(1).select(held_out(F.lit(i))).first()[0])
+    d = spark.createDataFrame(docs + [(hot, f"other text {n}") for n in range(500)], "doc_id long, text string")
+    y = spark.createDataFrame(labels, "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr("tideline.llm.quality.grow", lambda x, y: seen.append(len(y)) or grow(x, y))
+    train(d, y)
+    train(d, y, sample=20)
+    assert seen[0] <= len(labels) and seen[1] == 20
+
+
 def test_quality_without_labels_or_documents(spark):
     d = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")

@@ -191,6 +191,7 @@ def held_out(id_column: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_column: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Trees:
     """Trees from at most ``sample`` labelled ids that aren't held out.
 
+    A label teaches once: of several texts under one id the one with the least ``k2`` is taken.
     Rows without an id or a label teach nothing; an id with several labels takes the least;
     labels without a document and documents without a label are passed over.
     """
@@ -211,7 +212,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_column:
             flat = pa.array([row.tobytes() for row in x], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k1", "k2", "y")), flat], ["k1", "k2", "y", "x"])
 
-    found = sorted(map(tuple, picked.mapInArrow(measured, "k1 long, k2 long, y int, x binary").distinct().collect()))
+    rows = picked.mapInArrow(measured, "k1 long, k2 long, y int, x binary")
+    first = rows.groupBy("k1").agg(F.min(F.struct("k2", "y", "x")).alias("r")).select("k1", "r.*")  # folded before the shuffle
+    found = sorted(map(tuple, first.collect()))
     x = np.stack([np.frombuffer(r[3], "<f4") for r in found]) if found else np.zeros((0, len(FEATURES)), np.float32)
     return grow(x, np.array([r[2] for r in found], float))
 
