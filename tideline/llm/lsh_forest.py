@@ -1,10 +1,12 @@
-"""Near-duplicate documents by n-gram Jaccard similarity, found with a MinHash LSH forest.
+"""Near-duplicate documents by n-gram Jaccard similarity, found by MinHash LSH in fixed bands.
 
 Each document is the set of its ``SIZE``-word shingles. Equal sets are one class of copies,
-and only classes go on. The forest has ``TREES`` sorted prefix tries of MinHash values, ``DEPTH``
-levels deep. Two documents are candidates if they share a node in any tree; the prefix that
-must match is shortened level by level until even a pair exactly at the threshold shares a
-node with probability ``RECALL``. Nodes are kept as hashes of (tree, prefix); members hang on
+and only classes go on. Two documents are candidates if they agree on all MinHash values of any
+of ``TREES`` bands; a band has the most values, ``DEPTH`` at most, at which even a pair exactly at
+the threshold agrees on some band with probability ``RECALL`` (6). This is plain banding and not
+an LSH forest: no tries are built and no prefix is shortened for single documents. As threshold
+and recall are fixed, one length serves all documents, and as every candidate is verified, longer
+prefixes could only save comparisons. Nodes are kept as hashes of (band, values); members hang on
 their node's least member, in the scanning tasks first, so a node shared by a third of all
 classes crosses the shuffle once a task.
 
