@@ -10,11 +10,13 @@ from tideline.llm.frames import table
 from tideline.llm.html_blocks import extract
 from tideline.llm.line_windows import dedupe_lines
 from tideline.llm.lsh_forest import near_duplicates
+from tideline.llm.merkle import leaf, manifest, proof
 from tideline.llm.mixing import mix
 from tideline.llm.nn_descent import nearest
 from tideline.llm.prefix_free import remove_repeats
 from tideline.llm.quality import held_out, scored, train
 from tideline.llm.secrets import secret_spans
+from tideline.llm.sql import OP11_SQL, UPPER
 from tideline.llm.token_counts import token_counts
 
 TOKEN_LIMIT = 4096
@@ -134,6 +136,24 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document in a Merkle tree by language, a third of them tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    own, other = leaf(*fields, F.col("text")), leaf(*fields, F.translate("text", UPPER, UPPER.lower()))
+    claim = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, other).otherwise(own)
+    proved = manifest(docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("name"), own.alias("leaf"), claim.alias("claim")))
+    return proved.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        proof(F.col("path")).alias("proof_sha256"),
+        F.col("folded").alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_mixing": op2_mixing,
@@ -145,5 +165,6 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_secret_scan": op10_secret_scan,
+    "op11_merkle": op11_merkle,
 }
-ORACLE: dict[str, str] = {"op5_line_windows": OP5_SQL}
+ORACLE: dict[str, str] = {"op5_line_windows": OP5_SQL, "op11_merkle": OP11_SQL}
