@@ -13,6 +13,7 @@ from tideline.llm.lsh_forest import near_duplicates
 from tideline.llm.merkle import leaf, manifest, proof
 from tideline.llm.mixing import mix
 from tideline.llm.nn_descent import nearest
+from tideline.llm.piece_merges import encoded
 from tideline.llm.prefix_free import remove_repeats
 from tideline.llm.quality import held_out, scored, train
 from tideline.llm.secrets import secret_spans
@@ -154,6 +155,20 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by the 32k piece vocabulary and the text they decode to."""
+    import public_tokenizers
+
+    found = encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "agrees",
+    )
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_mixing": op2_mixing,
@@ -166,5 +181,6 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_secret_scan": op10_secret_scan,
     "op11_merkle": op11_merkle,
+    "op12_pieces": op12_pieces,
 }
 ORACLE: dict[str, str] = {"op5_line_windows": OP5_SQL, "op11_merkle": OP11_SQL}
