@@ -16,8 +16,9 @@ from tideline.llm.nn_descent import nearest
 from tideline.llm.piece_merges import encoded
 from tideline.llm.prefix_free import remove_repeats
 from tideline.llm.quality import held_out, scored, train
+from tideline.llm.repair import digests, repaired
 from tideline.llm.secrets import secret_spans
-from tideline.llm.sql import OP11_SQL, UPPER
+from tideline.llm.sql import OP11_SQL, OP13_SQL, UPPER
 from tideline.llm.token_counts import token_counts
 
 TOKEN_LIMIT = 4096
@@ -169,6 +170,29 @@ def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The rows with faults planted by a checksum of id and turn; nulls are one space there."""
+    space = F.lit(" ")
+    name = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    fate, text = F.crc32(name) % 20, F.coalesce("text", space)
+    return conversations.where(fate != 0).select(
+        "conv_id",
+        "turn",
+        F.when(fate == 4, "user").otherwise(F.coalesce("role", space)).alias("role"),
+        F.when(fate == 1, "").when(fate == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(F.when(fate == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_copy"),
+    ).drop("_copy")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after planted damage."""
+    conversations = table(spark, sf_dir, "conversations")
+    found = digests(repaired(damaged(conversations), ids=conversations))
+    conv_id = F.expr("CAST(nullif(substr(g, 2), '') AS long)").alias("conv_id")
+    totals = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit")
+    return found.select(conv_id, *totals, F.col("sha256").alias("repaired_sha256"))
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_mixing": op2_mixing,
@@ -182,5 +206,6 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "op11_merkle": op11_merkle,
     "op12_pieces": op12_pieces,
+    "op13_repair": op13_repair,
 }
-ORACLE: dict[str, str] = {"op5_line_windows": OP5_SQL, "op11_merkle": OP11_SQL}
+ORACLE: dict[str, str] = {"op5_line_windows": OP5_SQL, "op11_merkle": OP11_SQL, "op13_repair": OP13_SQL}

@@ -65,3 +65,62 @@ WITH RECURSIVE d AS (
 SELECT leaves.doc_id, leaves.leaf, c.subroot, tl.h AS root, sha256(c.proof) AS proof_sha256, c.h AS folded_root, c.h = tl.h AS verified
 FROM leaves JOIN climb c ON c.g = leaves.g AND c.k = leaves.i JOIN tl ON tl.n = 1 AND tl.lvl = c.lvl
 """
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+#: Row by row: the cheapest edits that leave a conversation on each initial.
+OP13_SQL = f"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS fate
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM c WHERE fate <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+    rtrim(text, {_BLANKS}) AS ends, left(role, 1) AS initial
+  FROM damaged
+), judged AS (
+  SELECT *, ends = '' AS blank, ends <> '' AND again AS duplicate, ends <> '' AND NOT again AND right(ends, 1) NOT IN ('.', '!', '?') AS truncated,
+    initial || lead(initial) OVER (PARTITION BY conv_id ORDER BY i) AS pair
+  FROM placed
+), ahead(p, q, cost, letter, line) AS (
+  VALUES ('', '', 0, '', NULL), ('s', 's', 0, '', NULL), ('u', 'u', 0, '', NULL), ('a', 'a', 0, '', NULL),
+    ('', 'u', 3, 'I', 'user:'), ('s', 'u', 3, 'I', 'user:'), ('a', 'u', 3, 'I', 'user:'), ('u', 'a', 3, 'I', 'assistant:')
+), edit(p, letter, q) AS (
+  VALUES ('', 'D', ''), ('s', 'D', 's'), ('u', 'D', 'u'), ('a', 'D', 'a'), ('', 'K', 's'), ('', 'K', 'u'), ('s', 'K', 'u'), ('u', 'K', 'a'), ('a', 'K', 'u'),
+    ('', 'R', 'u'), ('s', 'R', 'u'), ('u', 'R', 'a'), ('a', 'R', 'u')
+), state AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, '' AS p, {{'cost': 0, 'audit': '', 'lines': []::VARCHAR[]}} AS way FROM damaged
+  UNION ALL
+  SELECT s.conv_id, s.i + 1, e.q, min({{
+      'cost': s.way.cost + a.cost + CASE e.letter WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN j.truncated AND e.letter <> 'D' THEN 3 ELSE 0 END,
+      'audit': s.way.audit || a.letter || e.letter,
+      'lines': s.way.lines || CASE WHEN a.line IS NULL THEN []::VARCHAR[] ELSE [a.line] END || CASE e.letter WHEN 'D' THEN []::VARCHAR[]
+        WHEN 'K' THEN [j.role || ':' || j.text] ELSE [CASE e.q WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || j.text] END
+    }})
+  FROM state s JOIN judged j ON j.conv_id IS NOT DISTINCT FROM s.conv_id AND j.i = s.i + 1
+    JOIN ahead a ON a.p = s.p JOIN edit e ON e.p = a.q
+  WHERE e.letter = 'D' OR (NOT j.blank AND NOT j.duplicate AND (e.letter = 'R' OR j.initial = e.q))
+  GROUP BY s.conv_id, s.i, e.q
+), ended AS (
+  SELECT conv_id, i, CASE WHEN p = 'u' THEN {{'cost': way.cost + 3, 'audit': way.audit || 'I', 'lines': way.lines || ['assistant:']}} ELSE way END AS way
+  FROM state WHERE p <> 's'
+), tally AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+    count(*) FILTER (WHERE duplicate) AS duplicate, count(*) FILTER (WHERE truncated) AS truncated,
+    count(*) FILTER (WHERE i < k AND (pair IS NULL OR pair NOT IN ('su', 'ua', 'au'))) AS illegal
+  FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS k FROM judged) GROUP BY conv_id
+), cheapest AS (
+  SELECT e.conv_id, min(e.way) AS way FROM ended e JOIN tally t ON t.conv_id IS NOT DISTINCT FROM e.conv_id AND t.n = e.i GROUP BY e.conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(c.way.cost, 0)::BIGINT AS cost,
+  coalesce(c.way.audit, '') AS audit, sha256(coalesce(array_to_string(c.way.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+  LEFT JOIN tally t ON t.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN cheapest c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
