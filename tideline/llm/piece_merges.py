@@ -5,17 +5,22 @@ best score first and, of equal ones, leftmost first. The best pair becomes one s
 its new neighbours join the agenda, and what has been overtaken falls out when its turn comes. Symbols
 that are no piece fall back to their bytes.
 
-No symbol ever grows over two characters that no piece holds side by side. Texts are cut there, so
-that agendas stay short however long a text is, and words are remembered within a task, up to a fixed
-number. Each Arrow batch can be held against the sentencepiece library: ``agrees``.
+No symbol ever grows over two characters that no piece holds side by side. Such are, in the
+vocabularies taken here, the end of a word with the space before the next, and a line feed with anything.
+So a text is cut into words, and long words further, agendas stay short however long a text is, and
+words are remembered within a task, up to a fixed number. The words that are new in an Arrow batch
+are held against the sentencepiece library, all in one call: ``agrees``.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import pairwise
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +33,7 @@ from tideline.llm.frames import text_column
 SPACE = "▁"
 WORDS = 1 << 18
 LONG_WORD = 64
+WORD = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 MERGES = 2
 SCHEMA = "id long, n_bytes long, ids array<int>, decoded string, agrees boolean"
@@ -58,6 +64,12 @@ def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+def _by_library(library, words: list[str]) -> list[bytes]:
+    """The library's ids of each word; behind a line feed, which stands for itself, no space is added."""
+    lead = len(library.encode("\n"))
+    return [array("i", ids[lead:]).tobytes() for ids in library.encode(["\n" + w for w in words], num_threads=1)] if words else []
+
+
 class Vocabulary:
     """What encoding needs of a model file; refuses files of which it could not give the library's result."""
 
@@ -90,12 +102,11 @@ class Vocabulary:
         self.neighbours = {piece[k : k + 2] for piece in self.ids for k in range(len(piece) - 1)}
         self.silent = {i for i, (_, _, kind) in enumerate(self.pieces) if kind == CONTROL}
         self.surface = [self._surface(piece, kind) for piece, _, kind in self.pieces]
-        alone = "" if any("\n" in pair for pair in self.neighbours) else "\n"
-        if any(a != SPACE and b == SPACE for a, b in self.neighbours):
-            self.word = re.compile(f"{alone}|[^{alone}]+" if alone else "(?s:.+)")
-        else:
-            self.word = re.compile(f"{alone}|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        if any("\n" in pair or (pair[0] != SPACE and pair[1] == SPACE) for pair in self.neighbours):
+            raise ValueError("a piece goes on behind a line feed or into the next word")
+        # Two generations of words: those asked for again move to the younger one.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def _surface(piece: str, kind: int) -> bytes:
@@ -103,61 +114,71 @@ class Vocabulary:
             return bytes([int(piece[1:-1], 16)])
         return {CONTROL: b"", UNKNOWN: " ⁇ ".encode()}.get(kind, piece.replace(SPACE, " ").encode())
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as 32-bit numbers in a row, without an end."""
-        if not text:
-            return b""
-        known = self.known
-        found = self.word.findall(SPACE + text.replace(" ", SPACE))
-        out = []
-        for word in found:
-            ids = known.get(word)
-            if ids is None:
-                if len(known) >= WORDS:
-                    known.clear()
-                if len(word) <= LONG_WORD:
-                    ids = known[word] = self._merged(word)
-                else:
-                    ids = b"".join(map(self._merged, self._cut(word)))
-            out.append(ids)
-        return b"".join(out)
-
-    def _cut(self, word: str) -> Iterator[str]:
-        """The word between characters that stand side by side in no piece."""
-        start = 0
-        for k in range(1, len(word)):
-            if word[k - 1 : k + 1] not in self.neighbours:
-                yield word[start:k]
-                start = k
-        yield word[start:]
-
-    def _merged(self, word: str) -> bytes:
-        """The agenda over one stretch; a symbol is known by where it starts, and ``end`` says where it stops."""
-        n, rank = len(word), self.rank
+    def encode(self, texts: list[str], library=None) -> tuple[list[bytes], list[bool | None]]:
+        """Ids of each text as 32-bit numbers in a row, without an end, and whether the library agrees on all its words."""
+        found = [WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        words = set().union(*found)
+        here = {w: ids for w in words if (ids := self.known.get(w) or self.older.get(w))}
+        news = [w for w in words if w not in here]
+        here.update(zip(news, map(self.merged, news), strict=True))
+        wrong = {w for w, ids in zip(news, _by_library(library, news), strict=True) if ids != here[w]} if library else set()
+        if len(self.known) >= WORDS:
+            self.older, self.known = self.known, {}
+        self.known.update((w, ids) for w, ids in here.items() if len(w) <= LONG_WORD and w not in wrong)
+        agrees = [wrong.isdisjoint(f) if wrong else True for f in found] if library else [None] * len(found)
+        return [b"".join(map(here.__getitem__, f)) for f in found], agrees
+
+    def merged(self, word: str) -> bytes:
+        """Ids of a word as 32-bit numbers in a row; cut between characters that stand side by side in no piece."""
+        pairs = list(map(add, word, word[1:]))
+        if self.neighbours.issuperset(pairs):
+            return self._agenda(word, pairs)
+        edges = [0, *[k for k, pair in enumerate(pairs, 1) if pair not in self.neighbours], len(word)]
+        return b"".join([self._stretch(word[a:b], pairs[a : b - 1]) for a, b in pairwise(edges)])
+
+    def _stretch(self, word: str, pairs: list[str]) -> bytes:
+        """Ids of a part that meets nothing else, remembered like a word."""
+        ids = self.known.get(word)
+        if ids is None:
+            ids = self._agenda(word, pairs)
+            if len(word) <= LONG_WORD:
+                self.known[word] = ids
+        return ids
+
+    def _agenda(self, word: str, pairs: list[str]) -> bytes:
+        """The agenda over one stretch. A symbol is known by where it starts, and ``end`` says where it stops;
+        an entry packs rank, start and stop of a pair into a number that sorts like them."""
+        n, rank = len(word), self.rank.get
+        bits = n.bit_length()
+        mask, shift = (1 << bits) - 1, 2 * bits
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(rank[word[k : k + 2]], k, k + 1, k + 2) for k in range(n - 1) if word[k : k + 2] in rank]
+        agenda = [(r << shift) | (k << bits) | (k + 2) for k, r in enumerate(map(rank, pairs)) if r is not None]
         heapify(agenda)
         while agenda:
-            _, left, right, stop = heappop(agenda)
-            if end[left] != right or end[right] != stop:
+            entry = heappop(agenda)
+            left, stop = (entry >> bits) & mask, entry & mask
+            right = end[left]
+            if right < 0 or right >= stop or end[right] != stop:
                 continue
             end[left], end[right] = stop, -1
             if stop < n:
                 before[stop] = left
                 after = end[stop]
-                if (r := rank.get(word[left:after])) is not None:
-                    heappush(agenda, (r, left, stop, after))
-            if left and (r := rank.get(word[before[left] : stop])) is not None:
-                heappush(agenda, (r, before[left], left, stop))
-        ids, at = [], 0
+                if (r := rank(word[left:after])) is not None:
+                    heappush(agenda, (r << shift) | (left << bits) | after)
+            if left:
+                start = before[left]
+                if (r := rank(word[start:stop])) is not None:
+                    heappush(agenda, (r << shift) | (start << bits) | stop)
+        ids, at = array("i"), 0
         while at < n:
             symbol = word[at : end[at]]
             at = end[at]
             if (i := self.ids.get(symbol)) is None:
-                ids.extend(self.byte_ids[b] for b in symbol.encode())
+                ids.extend([self.byte_ids[b] for b in symbol.encode()])
             else:
                 ids.append(i)
-        return np.array(ids, "<i4").tobytes()
+        return ids.tobytes()
 
     def decode(self, ids: list[int]) -> str:
         """Text of the ids: the space that opens it goes, control ids are silent, broken bytes show as such."""
@@ -198,9 +219,9 @@ def encoded(docs: DataFrame, model: str, id_column: str = "doc_id", text: str =
 
     Null texts count as empty: the end id alone, decoded to the empty text. Whole texts are read,
     repeated rows and null ids are rows like any other, further columns are not read, and strings that
-    look like special pieces are text. ``agrees`` tells whether the library has the same ids and text,
-    null without ``check``. ``model`` is read on the driver and sent along; a vocabulary that changes
-    texts first, has user-defined or unused pieces or no byte fallback is refused.
+    look like special pieces are text. ``agrees`` tells whether the library has the same ids for all
+    words of the text, null without ``check``. ``model`` is read on the driver and sent along; a vocabulary that changes
+    texts first, has user-defined or unused pieces, pieces over the ends of words or no byte fallback is refused.
     """
     with open(model, "rb") as f:
         proto = f.read()
@@ -216,15 +237,9 @@ def encoded(docs: DataFrame, model: str, id_column: str = "doc_id", text: str =
 
             library = sentencepiece.SentencePieceProcessor(model_proto=shipped.value)
         for batch in sliced(batches, "text"):
-            texts = batch.column("text").to_pylist()
-            rows = [np.frombuffer(vocabulary.encode(t) + end, "<i4") for t in texts]
-            lists = [row.tolist() for row in rows]
-            decoded = [vocabulary.decode(ids) for ids in lists]
-            agrees = [None] * len(rows)
-            if library is not None:
-                theirs = library.encode(texts, add_eos=True, num_threads=1)
-                back = library.decode(theirs, num_threads=1) if theirs else []
-                agrees = [a == b and c == d for a, b, c, d in zip(lists, theirs, decoded, back, strict=True)]
+            found, agrees = vocabulary.encode(batch.column("text").to_pylist(), library)
+            rows = [np.frombuffer(ids + end, "<i4") for ids in found]
+            decoded = [vocabulary.decode(row.tolist()) for row in rows]
             offsets = np.zeros(len(rows) + 1, np.int32)
             np.cumsum([len(r) for r in rows], out=offsets[1:])
             flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)

@@ -22,7 +22,6 @@ from __future__ import annotations
 import hashlib
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +38,8 @@ WHOLE = ("", "ua", "sa")
 KINDS = ("", "ss", "su", "sa", "uu", "ua", "au", "aa")
 REROLE, DELETE, INSERT, CUT_OFF = 3, 4, 3, 3
 BLOCK = 256
-REMEMBERED = 64
+SHORT = 16
+REMEMBERED = 1 << 14
 BLANKS = " \t\n\x0b\f\r"
 Cell = dict[str, tuple[int, str]]
 
@@ -54,8 +54,7 @@ def _offer(cell: Cell, kind: str, cost: int, audit: str) -> bool:
     return True
 
 
-@lru_cache(None)
-def _row(symbol: str) -> tuple:
+def _row(symbol: str) -> Cell:
     """Cell of one row, closed over insertions. Symbols are the role's initial (``x`` for others), in
     upper case if the text is cut off; ``b`` and ``d`` are blank and duplicate rows, which must go."""
     cell: Cell = {"": (DELETE, "D")}
@@ -75,7 +74,7 @@ def _row(symbol: str) -> tuple:
             else:
                 steps = [(kind[0] + other, audit + "I")] * (kind[1] + other in LEGAL) + [(other + kind[1], "I" + audit)] * (other + kind[0] in LEGAL)
             news += [k for k, a in steps if _offer(cell, k, cost + INSERT, a)]
-    return tuple(cell.items())
+    return cell
 
 
 def _joined(left: Cell, right: Cell) -> Cell:
@@ -90,23 +89,22 @@ def _joined(left: Cell, right: Cell) -> Cell:
     return cell
 
 
-def span(symbols: str) -> Cell:
-    """Cell of a span of rows: single rows, then spans of twice the length, until one is left."""
-    return dict(_remembered(symbols)) if len(symbols) <= REMEMBERED else _doubled(symbols)
-
+def span(symbols: str, known: dict[str, Cell] | None = None) -> Cell:
+    """Cell of a span of rows: single rows, then spans of twice the length, until one is left.
 
-def _doubled(symbols: str) -> Cell:
-    cells = [dict(_row(s)) for s in symbols]
+    ``known`` keeps the cells of short spans for the next time, as many as ``REMEMBERED``.
+    """
+    known = {} if known is None else known
+    if symbols in known:
+        return known[symbols]
+    cells = [known[s] if s in known else known.setdefault(s, _row(s)) for s in symbols]
     while len(cells) > 1:
         cells = [_joined(*cells[k : k + 2]) if k + 1 < len(cells) else cells[k] for k in range(0, len(cells), 2)]
+    if len(symbols) <= SHORT and len(known) < REMEMBERED:
+        known[symbols] = cells[0]
     return cells[0]
 
 
-@lru_cache(1 << 16)
-def _remembered(symbols: str) -> tuple:
-    return tuple(_doubled(symbols).items())
-
-
 def best(cell: Cell) -> tuple[int, str]:
     """Cost and audit of the cheapest repair."""
     return min(cell[kind] for kind in WHOLE if kind in cell)
@@ -128,8 +126,9 @@ def codes(audit: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, Cell] = {}
     for batch in batches:
-        yield _packed(batch, [span(s) for s in batch.column("symbols").to_pylist()])
+        yield _packed(batch, [span(s, known) for s in batch.column("symbols").to_pylist()])
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
