@@ -20,7 +20,6 @@ from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import pairwise
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +98,7 @@ class Vocabulary:
         # Equal scores share a rank: between them the place in the text decides.
         ranks = {score: rank for rank, score in enumerate(sorted({s for _, s, kind in self.pieces if kind == NORMAL}, reverse=True))}
         self.rank = {piece: ranks[self.pieces[i][1]] for piece, i in self.ids.items()}
+        self._pair_tables()
         self.neighbours = {piece[k : k + 2] for piece in self.ids for k in range(len(piece) - 1)}
         self.silent = {i for i, (_, _, kind) in enumerate(self.pieces) if kind == CONTROL}
         self.surface = [self._surface(piece, kind) for piece, _, kind in self.pieces]
@@ -120,7 +120,7 @@ class Vocabulary:
         words = set().union(*found)
         here = {w: ids for w in words if (ids := self.known.get(w) or self.older.get(w))}
         news = [w for w in words if w not in here]
-        here.update(zip(news, map(self.merged, news), strict=True))
+        here.update(zip(news, self.merged(news), strict=True))
         wrong = {w for w, ids in zip(news, _by_library(library, news), strict=True) if ids != here[w]} if library else set()
         if len(self.known) >= WORDS:
             self.older, self.known = self.known, {}
@@ -128,31 +128,108 @@ class Vocabulary:
         agrees = [wrong.isdisjoint(f) if wrong else True for f in found] if library else [None] * len(found)
         return [b"".join(map(here.__getitem__, f)) for f in found], agrees
 
-    def merged(self, word: str) -> bytes:
-        """Ids of a word as 32-bit numbers in a row; cut between characters that stand side by side in no piece."""
-        pairs = list(map(add, word, word[1:]))
-        if self.neighbours.issuperset(pairs):
-            return self._agenda(word, pairs)
-        edges = [0, *[k for k, pair in enumerate(pairs, 1) if pair not in self.neighbours], len(word)]
-        return b"".join([self._stretch(word[a:b], pairs[a : b - 1]) for a, b in pairwise(edges)])
-
-    def _stretch(self, word: str, pairs: list[str]) -> bytes:
-        """Ids of a part that meets nothing else, remembered like a word."""
-        ids = self.known.get(word)
-        if ids is None:
-            ids = self._agenda(word, pairs)
-            if len(word) <= LONG_WORD:
-                self.known[word] = ids
-        return ids
-
-    def _agenda(self, word: str, pairs: list[str]) -> bytes:
+    def _pair_tables(self) -> None:
+        """Pairs of symbols whose joint string is a piece: sorted keys, ranks and what they become; the last row stands for no pair."""
+        size = self.unknown = len(self.pieces)
+        met = {}
+        for piece, i in self.ids.items():
+            for k in range(1, len(piece)):
+                if (a := self.ids.get(piece[:k])) is not None and (b := self.ids.get(piece[k:])) is not None:
+                    met[a * (size + 1) + b] = (self.rank[piece], i)
+        self.keys = np.array([*sorted(met), 1 << 62], np.int64)
+        self.ranks = np.array([*[met[k][0] for k in sorted(met)], size], np.int64)
+        self.joint = np.array([*[met[k][1] for k in sorted(met)], size], np.int32)
+        self.letters = np.full(0x110000, size, np.int32)
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.letters[ord(piece)] = i
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rows of the pair tables."""
+        key = left.astype(np.int64) * (self.unknown + 1) + right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, at, len(self.keys) - 1)
+
+    def merged(self, words: list[str]) -> list[bytes]:
+        """Ids of each word as 32-bit numbers in a row.
+
+        The agendas of all short words run side by side: in each round every word merges the pair that
+        its agenda has on top. Long ones are cut and have an agenda of their own.
+        """
+        out: list[bytes] = [b""] * len(words)
+        short = [k for k, w in enumerate(words) if len(w) <= LONG_WORD]
+        for k, ids in zip(short, self._side_by_side([words[k] for k in short]), strict=True):
+            out[k] = ids
+        for k, w in enumerate(words):
+            if len(w) > LONG_WORD:
+                edges = [0, *[j for j in range(1, len(w)) if w[j - 1 : j + 1] not in self.neighbours], len(w)]
+                out[k] = b"".join([self._agenda(w[a:b]) for a, b in pairwise(edges)])
+        return out
+
+    def _side_by_side(self, words: list[str]) -> Iterator[bytes]:
+        if not words:
+            return
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        symbol, place = self.letters[chars], np.arange(len(chars))
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        word = np.arange(len(words))
+        none = len(self.keys) - 1
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        pair = np.full(len(chars), none)
+        pair[:-1] = self._pairs(symbol[:-1], symbol[1:])
+        pair[np.cumsum(size) - 1] = none
+        while len(word):
+            start = np.cumsum(size) - size
+            n = len(symbol)
+            # The best rank and, of equal ones, the leftmost place.
+            top = np.minimum.reduceat(self.ranks[pair] * n + np.arange(n), start)
+            goes = top < self.ranks[none] * n
+            if not goes.all():
+                left = np.repeat(~goes, size)
+                done.append((np.repeat(word[~goes], size[~goes]), symbol[left], place[left]))
+            stays = np.repeat(goes, size)
+            at = top[goes] % n
+            symbol[at] = self.joint[pair[at]]
+            stays[at + 1] = False
+            # The pair that began with the absorbed symbol is now the merged one's with its right neighbour.
+            pair[at] = pair[at + 1]
+            now = np.cumsum(stays) - 1
+            symbol, place, pair = symbol[stays], place[stays], pair[stays]
+            word, size = word[goes], size[goes] - 1
+            at = now[at]
+            first = np.cumsum(size) - size
+            ends = first + size - 1
+            right = at[at < ends]
+            pair[right] = self._pairs(symbol[right], symbol[right + 1])
+            pair[at[at == ends]] = none
+            before = at[at > first] - 1
+            pair[before] = self._pairs(symbol[before], symbol[before + 1])
+        owner, symbol, place = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(owner, kind="stable")
+        owner, symbol, place = owner[order], symbol[order], place[order]
+        # Characters that are no piece fall back to their bytes.
+        lost = np.flatnonzero(symbol == self.unknown)
+        if len(lost):
+            spelt = [[self.byte_ids[b] for b in chr(c).encode()] for c in chars[place[lost]].tolist()]
+            times = np.ones(len(symbol), np.int64)
+            times[lost] = [len(x) for x in spelt]
+            first = np.cumsum(times) - times
+            owner, symbol = np.repeat(owner, times), np.repeat(symbol, times)
+            for f, ids in zip(first[lost].tolist(), spelt, strict=True):
+                symbol[f : f + len(ids)] = ids
+        whole = symbol.astype("<i4").tobytes()
+        edges = (np.searchsorted(owner, np.arange(len(words) + 1)) * 4).tolist()
+        for a, b in pairwise(edges):
+            yield whole[a:b]
+
+    def _agenda(self, word: str) -> bytes:
         """The agenda over one stretch. A symbol is known by where it starts, and ``end`` says where it stops;
         an entry packs rank, start and stop of a pair into a number that sorts like them."""
         n, rank = len(word), self.rank.get
         bits = n.bit_length()
         mask, shift = (1 << bits) - 1, 2 * bits
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(r << shift) | (k << bits) | (k + 2) for k, r in enumerate(map(rank, pairs)) if r is not None]
+        agenda = [(r << shift) | (k << bits) | (k + 2) for k in range(n - 1) if (r := rank(word[k : k + 2])) is not None]
         heapify(agenda)
         while agenda:
             entry = heappop(agenda)
