@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.conftest import SAMPLE
-from tideline.checks import dialogue, operators, reports
+from tideline.checks import dialogue, operators, reports, runs
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -36,7 +36,7 @@ def table_of(columns, records):
 
 
 # The training-data operators have their own tests, and can be left out with them.
-NAMES = sorted({**reports.QUERIES, **operators.QUERIES, **dialogue.QUERIES})
+NAMES = sorted({**reports.QUERIES, **operators.QUERIES, **dialogue.QUERIES, **runs.QUERIES})
 
 
 def test_every_query_has_sql():
