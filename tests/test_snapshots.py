@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from tests.conftest import SAMPLE, day, rows
 from tideline.sources.sample import EventsWorld
 from tideline.sources.snapshots import (
-    RowBudgetExceeded, budget_status, guard_rows, latest_payloads, read_snapshot, run_status, save_payload,
-    snapshot_reports, to_cells, write_snapshot,
+    RowBudgetExceeded, budget_status, guard_rows, latest_payloads, live_runs, placed_rows, read_payloads, read_run,
+    read_snapshot, release, run_status, save_payload, snapshot_reports, store_report, to_cells, write_snapshot,
 )
 from tideline.sources.warehouse import SCHEMAS, Warehouse, conform
 
@@ -87,12 +87,61 @@ def test_rerun_replaces_its_own_day_only(spark, tmp_path):
     assert rows(counted) == [(day(0), 2), (day(1), 2)]
 
 
+def test_a_run_that_dies_leaves_the_old_one_readable(spark, tmp_path, monkeypatch):
+    from tideline.sources import manifests
+
+    path = str(tmp_path / "cells")
+    assert read_snapshot(spark, path).isEmpty() and run_status(spark, path).isEmpty()
+    old, new = (spark.createDataFrame([("dau", v)], "metric string, value double") for v in (1.0, 2.0))
+    first = write_snapshot(to_cells(old, "q", ["metric"], day(0)), path, [day(0)], "q")
+    before = rows(read_snapshot(spark, path))
+    with monkeypatch.context() as broken:
+        broken.setattr(manifests, "publish", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            write_snapshot(to_cells(new, "q", ["metric"], day(0)), path, [day(0)], "q")
+    assert len(list((tmp_path / "cells" / "cells").glob("run_id=*"))) == 2 and rows(read_snapshot(spark, path)) == before
+    # Replaced runs stay readable by their id.
+    second = write_snapshot(to_cells(new, "q", ["metric"], day(0)), path, [day(0)], "q")
+    assert rows(live_runs(spark, path), "query", "run_id", "n_rows") == [("q", second, 1)]
+    assert rows(read_run(spark, path, first)) == before != rows(read_snapshot(spark, path))
+    with pytest.raises(ValueError, match="nothing"):
+        read_run(spark, path, "nothing")
+    with pytest.raises(FileExistsError):
+        manifests.publish(spark, f"{path}/_runs", first, [])
+
+
+def test_rows_of_one_day_are_numbered_in_many_tasks(spark):
+    many = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("x"))
+    placed = placed_rows(many, [F.col("x").desc_nulls_last(), F.col("k")], day(3))
+    got = placed.orderBy("_no").select("k", "x", "_no").collect()
+    want = sorted(many.collect(), key=lambda r: (r["x"] is None, -(r["x"] or 0), r["k"]))
+    assert [tuple(r) for r in got] == [(r["k"], r["x"], n) for n, r in enumerate(want, 1)]
+    assert placed.select(F.spark_partition_id()).distinct().count() > 1
+    assert "SinglePartition" not in placed._jdf.queryExecution().executedPlan().toString()
+    release(placed)
+
+
+def test_odd_numbers_have_cells(spark):
+    odd = spark.createDataFrame([("a", float("nan")), ("b", float("inf")), ("c", 1e300), ("d", None), ("e", -0.00005)], "metric string, value double")
+    got = {r["row_metric"]: r["value"] for r in to_cells(odd, "q", ["metric"], day(0)).where("column = 'value'").collect()}
+    assert got == {"a": "NaN", "b": "Infinity", "c": "1.0E300", "d": "NULL", "e": "-0.0001"}
+
+
+def test_a_result_without_rows_is_stored(spark, tmp_path):
+    path = str(tmp_path / "cells")
+    empty = spark.createDataFrame([], "metric string, value double")
+    assert store_report(spark, lambda: empty, "q", ["metric"], [day(0), day(1)], path) is None
+    assert rows(run_status(spark, path), "report_date", "status") == [(day(0), "stored"), (day(1), "stored")]
+    assert read_snapshot(spark, path).isEmpty()
+
+
 def test_payloads_append_by_day_and_kind(spark, tmp_path):
     path = str(tmp_path / "payloads")
     df = spark.createDataFrame([("r1", day(0), "{}")], "run_id string, report_date date, payload string")
     save_payload(df, "input", path)
     save_payload(df, "report", path)
-    assert rows(spark.read.parquet(path), "run_id", "kind") == [("r1", "input"), ("r1", "report")]
+    save_payload(df.withColumn("kind", F.lit("context")), None, path)
+    assert rows(read_payloads(spark, path), "run_id", "kind") == [("r1", "context"), ("r1", "input"), ("r1", "report")]
 
 
 def test_warehouse_reads_relations_when_asked(spark, tmp_path):

@@ -42,13 +42,17 @@ def _cell(column: str) -> str:
     return f"coalesce(CAST(CAST({column} AS DECIMAL(38,4)) AS VARCHAR), 'NULL')"
 
 
-CELLS = {
-    "placed": "SELECT *, row_number() OVER (PARTITION BY run ORDER BY metric) AS row_no FROM compared",
-    "good_cells": " UNION ALL ".join(
+def cells_of(placed: str) -> str:
+    return " UNION ALL ".join(
         f"SELECT CAST(run - 1 AS DATE) AS report_date, 'main_kpi_flat' AS query, CAST(row_no AS INTEGER) AS row_no, "
-        f"'{c}' AS \"column\", {_cell(c)} AS value, metric AS row_metric, CAST(NULL AS VARCHAR) AS error FROM placed"
+        f"'{c}' AS \"column\", {_cell(c)} AS value, metric AS row_metric, CAST(NULL AS VARCHAR) AS error FROM {placed}"
         for c in SHOWN
-    ),
+    )
+
+
+CELLS = {
+    "placed": "SELECT *, row_number() OVER (PARTITION BY run ORDER BY metric) AS row_no FROM compared",
+    "good_cells": cells_of("placed"),
     "cells": """
 SELECT * FROM good_cells
 UNION ALL SELECT DISTINCT report_date, query, 0, '', '', '', 'timeout' FROM good_cells WHERE day(report_date) % 11 = 0""",

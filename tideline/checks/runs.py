@@ -6,10 +6,12 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from tideline.checks.dialogue import FLAT_RESULT, cells_of
 from tideline.checks.operators import WHOLE_DAYS, _whole_days
 from tideline.checks.relations import EVENTS, ORDERS, statement
 from tideline.checks.report_sql import MOVED, TRAFFIC, lifecycle_ctes, movement_ctes
 from tideline.operators.replay import Replay, Shape
+from tideline.sources import dialogue, snapshots
 from tideline.streaming.ingest import work_dir
 
 QUERIES, ORACLE = {}, {}
@@ -59,3 +61,56 @@ def _(spark, d):
     for year in range(first.year, last.year + 1):
         replay.advance(max(first, date(year, 1, 1)), min(last, date(year, 12, 31)))
     return replay.results()
+
+
+# --- published runs -------------------------------------------------------------------
+
+_ROUNDTRIP = FLAT_RESULT | {
+    "placed": """
+SELECT *, row_number() OVER (PARTITION BY run ORDER BY metric) AS row_no FROM compared
+WHERE NOT (day(run - 1) % 2 = 0 AND metric = 'rev') AND day(run - 1) % 10 <> 0""",
+    "good_cells": cells_of("placed"),
+}
+
+
+@check("snapshot_roundtrip", EVENTS, _ROUNDTRIP, "SELECT * FROM good_cells")
+def _(spark, d):
+    """A run over all days, one without a metric on even days, an empty one on each tenth, a failed one and one that died."""
+    path = work_dir(spark, "cells")
+    results, order = dialogue.flat_results(spark, d).persist(), [F.col("metric")]
+    days = sorted(r[0] for r in results.select(F.date_sub("run_date", 1)).distinct().collect())
+    fewer = results.where((F.dayofmonth(F.date_sub("run_date", 1)) % 2 == 0) & (F.col("metric") != "rev"))
+    tenth = [x for x in days if x.day % 10 == 0]
+
+    def store(rows, of, name=dialogue.FLAT):
+        return snapshots.store_report(spark, lambda: rows, name, order, of, path)
+
+    store(results, days)
+    store(fewer, [x for x in days if x.day % 2 == 0])
+    store(results.limit(0), tenth)
+    store(results.where(F.raise_error(F.lit("broken")).isNull()), days)
+    snapshots.to_cells(results, dialogue.FLAT, order).write.partitionBy("report_date").parquet(f"{path}/cells/run_id=died")
+    results.unpersist()
+    return snapshots.read_snapshot(spark, path)
+
+
+_KIND = "CASE turn % 4 WHEN 0 THEN 'input' WHEN 1 THEN 'context' WHEN 2 THEN 'report' ELSE 'validation' END"
+
+
+@check("run_payload_latest", {}, {}, f"""
+SELECT 'run-' || conv_id AS run_id, {_KIND} AS kind, CAST(DATE '2024-01-01' + CAST(conv_id % 30 AS INTEGER) AS DATE) AS report_date,
+       text AS payload
+FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, turn % 4 ORDER BY turn DESC) = 1""")
+def _(spark, d):
+    """Payloads saved in two waves; the later turn of a run and kind counts."""
+    path = work_dir(spark, "payloads")
+    turns = spark.read.parquet(f"{d}/conversations.parquet")
+    kind = F.element_at(F.array(*map(F.lit, ("input", "context", "report", "validation"))), (F.col("turn") % 4 + 1).cast("int"))
+    rows = turns.select(
+        F.concat(F.lit("run-"), "conv_id").alias("run_id"),
+        F.date_add(F.lit(date(2024, 1, 1)), (F.col("conv_id") % 30).cast("int")).alias("report_date"),
+        kind.alias("kind"), F.col("text").alias("payload"), F.expr("turn div 4").alias("wave"),
+    )
+    for wave in range(int(rows.agg(F.max("wave")).first()[0]) + 1):
+        snapshots.save_payload(rows.where(F.col("wave") == wave), None, path)
+    return snapshots.latest_payloads(snapshots.read_payloads(spark, path)).drop("saved_at")

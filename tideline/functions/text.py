@@ -29,14 +29,15 @@ def cell_text(column: Column, dtype: T.DataType) -> Column:
     """One result value as text.
 
     Missing is ``NULL``; days and instants are RFC 3339 (UTC); a double is written as
-    a plain decimal with four places, never in exponent form.
+    a plain decimal with four places, never in exponent form; one that is no such number
+    (NaN, infinite, 35 digits and more) as Spark spells it.
     """
     if isinstance(dtype, T.DateType):
         text = F.date_format(column, "yyyy-MM-dd'T'00:00:00'Z'")
     elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         text = F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     elif isinstance(dtype, (T.DoubleType, T.FloatType)):
-        text = column.cast("decimal(38,4)").cast("string")
+        text = F.coalesce(column.try_cast("decimal(38,4)").cast("string"), column.cast("string"))
     elif isinstance(dtype, T.BinaryType):
         text = F.decode(column, "UTF-8")
     else:

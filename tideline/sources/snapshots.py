@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date, timedelta
@@ -12,12 +13,14 @@ from pyspark.sql import functions as F
 
 from tideline.functions.text import cell_text
 from tideline.operators.levels import latest_per_key
+from tideline.sources import manifests
 
 CELLS = (
     "report_date date, query string, row_no int, column string, value string, "
     "row_metric string, error string"
 )
-RUNS = "report_date date, query string, status string, error string, saved_at bigint"
+CELL_COLUMNS = [c.split()[0] for c in CELLS.split(", ")]
+RUNS = "report_date date, query string, run_id string, status string, error string, n_rows bigint, saved_at bigint"
 
 
 class RowBudgetExceeded(ValueError):
@@ -38,30 +41,57 @@ def guard_rows(df: DataFrame, max_rows: int) -> DataFrame:
     return df
 
 
+def placed_rows(df: DataFrame, order: Iterable, report_date=None) -> DataFrame:
+    """The rows with ``_report``, their report date, and ``_no``, their number in it by ``order``.
+
+    No task orders a whole day: rows are dealt by ranges of the order and sorted there, and what
+    stands before a range is a sum over counts, one for each range and day that meet. The dealt
+    rows are cached, so that counts and rows speak of the same ranges; see ``release``.
+    """
+    if "run_date" in df.columns:
+        dated = df.withColumn("_report", F.date_sub("run_date", 1))
+    else:
+        dated = df.withColumn("_report", F.lit(report_date).cast("date"))
+    by = [F.col("_report"), *order]
+    dealt = dated.repartitionByRange(*by).sortWithinPartitions(*by)
+    dealt = dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)).persist()
+    earlier = Window.partitionBy("_report").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (
+        dealt.groupBy("_report", "_part")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .select(F.col("_report").alias("_day"), F.col("_part").alias("_range"), "_first", "_before")
+    )
+    met = dealt.join(counts, F.col("_report").eqNullSafe(F.col("_day")) & (F.col("_part") == F.col("_range")))
+    placed = met.withColumn("_no", (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("int"))
+    placed = placed.drop("_at", "_part", "_day", "_range", "_first", "_before")
+    placed.dealt = dealt
+    return placed
+
+
+def release(placed: DataFrame) -> None:
+    """Let go of what ``placed_rows`` cached."""
+    placed.dealt.unpersist()
+
+
 def to_cells(df: DataFrame, query: str, order: Iterable, report_date=None) -> DataFrame:
     """Cells ``report_date, query, row_no, column, value, row_metric, error``.
 
     Rows are numbered by ``order`` within their report date. A frame with ``run_date``
     (a backfill) is dated by it, otherwise ``report_date`` applies. ``row_metric`` is the
-    row's metric in a long result and empty in a wide one.
+    row's metric in a long result and empty in a wide one. Rows from ``placed_rows`` keep
+    their numbers.
     """
-    ranged = "run_date" in df.columns
-    if ranged:
-        dated = df.withColumn("_report", F.date_sub("run_date", 1))
-    else:
-        dated = df.withColumn("_report", F.lit(report_date).cast("date"))
+    placed = df if "_no" in df.columns else placed_rows(df, order, report_date)
     metric = F.col("metric") if "metric" in df.columns else F.lit("")
-    columns = [f for f in df.schema.fields if f.name != "run_date"]
+    columns = [f for f in df.schema.fields if f.name not in ("run_date", "_report", "_no")]
     cells = F.array(
         *[
             F.struct(F.lit(f.name).alias("column"), cell_text(F.col(f.name), f.dataType).alias("value"))
             for f in columns
         ]
     )
-    numbered = dated.withColumn(
-        "_no", F.row_number().over(Window.partitionBy("_report").orderBy(*order))
-    )
-    return numbered.select(
+    return placed.select(
         F.col("_report").alias("report_date"),
         F.lit(query).alias("query"),
         F.col("_no").alias("row_no"),
@@ -71,41 +101,62 @@ def to_cells(df: DataFrame, query: str, order: Iterable, report_date=None) -> Da
     )
 
 
-def write_snapshot(cells: DataFrame, path: str, days: Iterable[date] = (), query: str | None = None) -> None:
-    """Replace exactly the (report date, query) partitions present in ``cells``, and empty
-    those of ``query`` on ``days`` for which it has no rows.
+def write_snapshot(cells: DataFrame, path: str, days: Iterable[date] = (), query: str | None = None, errors: Mapping[date, str] | None = None) -> str:
+    """Store cells as a run of its own and publish it; returns the run's id.
 
-    Rerunning a day is idempotent: its partitions are overwritten, others stay.
+    The run replaces what readers see of the (report date, query) pairs in ``cells``, and of
+    ``query`` on each of ``days``, rows or not. Its folder is new and never touched again, and its
+    manifest, with a line for each pair, is written last: until then, and for good if the job
+    dies, readers see the runs before.
     """
-    (
-        cells.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("report_date", "query")
-        .parquet(path)
-    )
-    if days := set(days):
-        # One row a day of the range.
-        filled = {r["report_date"] for r in cells.select("report_date").distinct().collect()}
-        for day in days - filled:
-            empty = cells.drop("report_date", "query").limit(0).coalesce(1)
-            empty.write.mode("overwrite").parquet(f"{path}/report_date={day.isoformat()}/query={query}")
+    spark = cells.sparkSession
+    run = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    cells.write.partitionBy("report_date").parquet(f"{path}/cells/run_id={run}")
+    counts = spark.read.schema(CELLS).parquet(f"{path}/cells/run_id={run}").groupBy("report_date", "query").agg(F.max("row_no").alias("n"))
+    found = {(r["report_date"], r["query"]): r["n"] for r in counts.collect()}
+    for day in days:
+        found.setdefault((day, query), 0)
+    _publish(spark, path, run, [(day, name, n, (errors or {}).get(day)) for (day, name), n in found.items()])
+    return run
+
+
+def _publish(spark: SparkSession, path: str, run: str, lines: list[tuple], status: str = "stored") -> None:
+    named = ("report_date", "query", "n_rows", "error")
+    now = time.time_ns()
+    manifests.publish(spark, f"{path}/_runs", run, [{**dict(zip(named, line, strict=True)), "run_id": run, "status": status, "saved_at": now} for line in lines])
+
+
+def _runs(spark: SparkSession, path: str) -> DataFrame:
+    if not manifests.exists(spark, f"{path}/_runs"):
+        return spark.createDataFrame([], RUNS)
+    return spark.read.schema(RUNS).json(f"{path}/_runs")
+
+
+def live_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The run that counts for each report date and query: the newest that was stored whole."""
+    stored = _runs(spark, path).where("status = 'stored'")
+    return latest_per_key(stored, ["report_date", "query"], "saved_at", ["run_id", "n_rows"])
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CELLS).parquet(path)
+    """The cells of the runs that count."""
+    if not manifests.exists(spark, f"{path}/cells"):
+        return spark.createDataFrame([], CELLS)
+    cells = spark.read.schema(f"{CELLS}, run_id string").parquet(f"{path}/cells")
+    keys = ["run_id", "report_date", "query"]
+    return cells.join(live_runs(spark, path).select(*keys), keys, "left_semi").select(*CELL_COLUMNS)
 
 
-def _log_run(spark: SparkSession, path: str, query: str, days: Iterable[date], error: str | None) -> None:
-    """A line for each day of a run; Spark's readers of cells pass over the underscore folder."""
-    status = "failed" if error else "stored"
-    lines = [(day, query, status, error, time.time_ns()) for day in days]
-    spark.createDataFrame(lines, RUNS).coalesce(1).write.mode("append").parquet(f"{path}/_runs")
+def read_run(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+    """The cells of one published run, also of one that a later run has replaced."""
+    if _runs(spark, path).where((F.col("run_id") == run_id) & (F.col("status") == "stored")).isEmpty():
+        raise ValueError(f"no run {run_id} was stored")
+    return spark.read.schema(CELLS).parquet(f"{path}/cells/run_id={run_id}").select(*CELL_COLUMNS)
 
 
 def run_status(spark: SparkSession, path: str) -> DataFrame:
     """How the last run of each report and day ended; its cells are those of the last good run."""
-    runs = spark.read.schema(RUNS).parquet(f"{path}/_runs")
-    return latest_per_key(runs, ["report_date", "query"], "saved_at", ["status", "error"])
+    return latest_per_key(_runs(spark, path), ["report_date", "query"], "saved_at", ["status", "error"])
 
 
 def store_report(
@@ -115,24 +166,23 @@ def store_report(
     """Compute one report and store its cells; returns the error, if it has one.
 
     Whatever goes wrong is this report's own: it is logged, and the cells of earlier runs
-    stay. A result over ``max_rows`` a day is stored in full and reported as an error.
+    stay. A result over ``max_rows`` a day is stored in full and noted as the day's error.
     """
-    error = None
     try:
-        rows = result()
         report_date = days[0] if len(days) == 1 else None
-        cells = to_cells(rows, name, order, report_date).persist()
+        placed = placed_rows(result(), order, report_date)
         try:
-            write_snapshot(cells, path, days, name)
+            over = {}
             if max_rows is not None:
-                most = cells.groupBy("report_date").agg(F.max("row_no").alias("n")).agg(F.max("n")).first()[0]
-                if (most or 0) > max_rows:
-                    error = f"result has {most} rows a day, more than max_rows={max_rows}; aggregate further"
+                for row in placed.groupBy("_report").agg(F.max("_no").alias("n")).where(F.col("n") > max_rows).collect():
+                    over[row["_report"]] = f"result has {row['n']} rows a day, more than max_rows={max_rows}; aggregate further"
+            write_snapshot(to_cells(placed, name, order), path, days, name, over)
+            return next(iter(over.values()), None)
         finally:
-            cells.unpersist()
+            release(placed)
     except Exception as problem:  # noqa: BLE001 - any failure is isolated, that of a job too
         error = (str(problem).splitlines() or [type(problem).__name__])[0]
-    _log_run(spark, path, name, days, error)
+    _publish(spark, path, f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}", [(day, name, None, error) for day in days], "failed")
     return error
 
 
@@ -174,14 +224,15 @@ def snapshot_reports(
 PAYLOADS = "run_id string, report_date date, kind string, payload string, saved_at timestamp"
 
 
-def save_payload(df: DataFrame, kind: str, path: str) -> None:
+def save_payload(df: DataFrame, kind: str | None, path: str) -> None:
     """Append run payloads (``run_id, report_date, payload``) of one kind: input,
-    context, report or validation. The last one of a run and kind counts."""
+    context, report or validation; without ``kind`` the rows name theirs. The last one of a
+    run and kind counts."""
     (
         df.select(
             "run_id",
             "report_date",
-            F.lit(kind).alias("kind"),
+            (F.col("kind") if kind is None else F.lit(kind)).alias("kind"),
             "payload",
             F.current_timestamp().alias("saved_at"),
         )
@@ -191,6 +242,10 @@ def save_payload(df: DataFrame, kind: str, path: str) -> None:
     )
 
 
+def read_payloads(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(PAYLOADS).parquet(path)
+
+
 def latest_payloads(payloads: DataFrame) -> DataFrame:
     """The last payload of each run and kind."""
     return latest_per_key(payloads, ["run_id", "kind"], "saved_at", ["report_date", "payload"])
