@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SAMPLE, day, rows
+from tideline.operators.ordered import release
 from tideline.sources.sample import EventsWorld
 from tideline.sources.snapshots import (
     RowBudgetExceeded, budget_status, guard_rows, latest_payloads, live_runs, placed_rows, read_payloads, read_run,
-    read_snapshot, release, run_status, save_payload, snapshot_reports, store_report, to_cells, write_snapshot,
+    read_snapshot, run_status, save_payload, snapshot_reports, store_report, to_cells, write_snapshot,
 )
 from tideline.sources.warehouse import SCHEMAS, Warehouse, conform
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
@@ -10,8 +10,11 @@ from tideline.checks.dialogue import FLAT_RESULT, cells_of
 from tideline.checks.operators import WHOLE_DAYS, _whole_days
 from tideline.checks.relations import EVENTS, ORDERS, statement
 from tideline.checks.report_sql import MOVED, TRAFFIC, lifecycle_ctes, movement_ctes
+from tideline.operators import feedback, reviews
 from tideline.operators.replay import Replay, Shape
 from tideline.sources import dialogue, snapshots
+from tideline.sources.sample import EventsWorld
+from tideline.streaming import threads
 from tideline.streaming.ingest import work_dir
 
 QUERIES, ORACLE = {}, {}
@@ -20,7 +23,7 @@ QUERIES, ORACLE = {}, {}
 def check(name: str, relations: dict, ctes: dict, final: str):
     def register(query):
         QUERIES[name] = query
-        ORACLE[name] = statement(relations, ctes, final)
+        ORACLE[name] = statement(relations, ctes, final).replace("WITH ", "WITH RECURSIVE ", 1)
         return query
 
     return register
@@ -114,3 +117,96 @@ def _(spark, d):
     for wave in range(int(rows.agg(F.max("wave")).first()[0]) + 1):
         snapshots.save_payload(rows.where(F.col("wave") == wave), None, path)
     return snapshots.latest_payloads(snapshots.read_payloads(spark, path)).drop("saved_at")
+
+
+# --- thread replies -------------------------------------------------------------------
+
+
+@check("stream_thread_corrections", {}, {
+    "replies": """
+SELECT DISTINCT 'Ev-' || conv_id || '-' || turn AS event_id, conv_id, 'U' || (conv_id % 7) AS user_id, 'C' || (conv_id % 3) AS channel_id,
+       conv_id || '.0' AS message_ts, text AS raw_text
+FROM conversations WHERE role = 'user' AND trim(text) <> ''""",
+}, """
+SELECT event_id, CASE WHEN conv_id % 10 <> 9 THEN CAST(conv_id AS VARCHAR) END AS run_id, user_id, channel_id, message_ts, raw_text,
+       CASE WHEN conv_id % 10 <> 9 THEN 'pending' ELSE 'waiting' END AS status FROM replies""")
+def _(spark, d):
+    """Replies, retries and posts in several batches, the posts of one batch behind the replies of another."""
+    world, folder = EventsWorld(spark, d), work_dir(spark, "threads")
+    log, posts = dialogue.thread_log(world), dialogue.posted_reports(world)
+    log.repartitionByRange(4, "received_at").write.parquet(f"{folder}/log")
+    posts.repartitionByRange(3, F.col("run_id").desc()).write.parquet(f"{folder}/post-log")
+
+    def stream(name, schema):
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}")
+
+    threads.ingest_replies(stream("log", log.schema), stream("post-log", posts.schema), folder, f"{folder}/progress", available_now=True).awaitTermination()
+    shown = ["event_id", "run_id", "user_id", "channel_id", "message_ts", "raw_text", "status"]
+    waiting = threads.waiting_replies(spark, folder).withColumns({"run_id": F.lit(None).cast("string"), "status": F.lit("waiting")})
+    return threads.corrections(spark, folder).select(*shown).unionByName(waiting.select(*shown))
+
+
+# --- reviews --------------------------------------------------------------------------
+
+_MOVES = ", ".join(f"('{a}', '{b}', '{c}')" for (a, b), c in reviews.TRANSITIONS.items())
+_REVIEWS = {
+    "moves(state, action, target)": f"VALUES {_MOVES}",
+    "acts": """
+SELECT id AS feedback_id, id * 100 + j AS event_id, (j * 37 + id) % 50 AS at_minute, run_id + j AS guideline_id,
+       ['draft', 'approve', 'reject', 'reopen'][((id + j * j) % 4) + 1] AS action
+FROM feedback, unnest(range(6)) t(j) WHERE feedback_type = 'correction' AND j < id % 7""",
+    "placed": "SELECT *, row_number() OVER (PARTITION BY feedback_id ORDER BY at_minute, event_id) AS event_no FROM acts",
+    "walked": """
+SELECT feedback_id, CAST(0 AS BIGINT) AS event_no, 'pending' AS state, CAST(NULL AS BIGINT) AS rule, 0 AS illegal FROM placed WHERE event_no = 1
+UNION ALL
+SELECT w.feedback_id, p.event_no, coalesce(m.target, w.state), CASE WHEN m.target = 'incorporated' THEN p.guideline_id ELSE w.rule END,
+       w.illegal + CASE WHEN m.target IS NULL THEN 1 ELSE 0 END
+FROM walked w JOIN placed p ON p.feedback_id = w.feedback_id AND p.event_no = w.event_no + 1
+  LEFT JOIN moves m ON m.state = w.state AND m.action = p.action""",
+    "stood": """
+SELECT feedback_id, arg_max(state, event_no) AS state, arg_max(coalesce(rule, -1), event_no) AS rule, max(event_no) AS events,
+       CAST(arg_max(illegal, event_no) AS BIGINT) AS illegal FROM walked GROUP BY feedback_id""",
+}
+
+
+@check("review_state", EVENTS, _REVIEWS, """
+SELECT feedback_id, state, CASE WHEN state = 'incorporated' THEN rule END AS guideline_id, events, illegal FROM stood""")
+def _(spark, d):
+    return reviews.review_state(reviews.review_events(dialogue.review_log(EventsWorld(spark, d))))
+
+
+@check("review_gate_from_log", EVENTS, _REVIEWS | {
+    "judged_items": """
+SELECT f.run_id, f.feedback_type, CASE WHEN feedback_type = 'correction' THEN coalesce(s.state, 'pending') ELSE f.state END AS state, s.rule
+FROM feedback f LEFT JOIN stood s ON s.feedback_id = f.id""",
+    "used": "SELECT id FROM guidelines WHERE is_active",
+}, """
+SELECT run_id, count(*) FILTER (WHERE feedback_type = 'positive') AS positives,
+       count(*) FILTER (WHERE feedback_type = 'correction' AND state = 'incorporated') AS incorporated,
+       count(*) FILTER (WHERE feedback_type = 'correction' AND state = 'rejected') AS rejected,
+       count(*) FILTER (WHERE feedback_type = 'correction' AND state NOT IN ('incorporated', 'rejected')) AS unresolved,
+       count(DISTINCT rule) FILTER (WHERE feedback_type = 'correction' AND state = 'incorporated' AND rule NOT IN (SELECT id FROM used)) AS unpublished
+FROM judged_items GROUP BY run_id""")
+def _(spark, d):
+    world = EventsWorld(spark, d)
+    states = reviews.review_state(reviews.review_events(dialogue.review_log(world)))
+    in_use = world["agent_guidelines"].where("is_active")
+    return feedback.review_gate(reviews.reviewed(world["agent_feedback"], states), in_use).drop("open")
+
+
+@check("pending_due", EVENTS, {
+    "saved": """
+SELECT conv_id || '-' || turn AS event_key, text AS raw_text,
+       CAST(10080 - 1440 * (conv_id % 7) - 60 * turn AS BIGINT) AS age_minutes, length(text) % 3 = 0 AS done
+FROM conversations WHERE role = 'user'""",
+}, """
+SELECT event_key, raw_text, age_minutes, age_minutes // 360 AS tries_due FROM saved WHERE NOT done AND age_minutes >= 360""")
+def _(spark, d):
+    turns = EventsWorld(spark, d).table("conversations").where("role = 'user'")
+    since = F.make_dt_interval((F.col("conv_id") % 7).cast("int"), F.col("turn").cast("int"), F.lit(0), F.lit(0))
+    saved = turns.select(
+        F.concat_ws("-", "conv_id", "turn").alias("event_key"), F.col("text").alias("raw_text"),
+        (F.lit(date(2024, 1, 1)).cast("timestamp_ntz") + since).alias("received_at"),
+    )
+    due = reviews.pending_due(saved, saved.where(F.length("raw_text") % 3 == 0), datetime(2024, 1, 8), 360)
+    return due.select("event_key", "raw_text", "age_minutes", "tries_due")

@@ -20,7 +20,9 @@ PAYLOAD = (
     "message struct<ts: string>, "
     "actions array<struct<action_id: string, value: string, action_ts: string>>, "
     "view struct<id: string, callback_id: string, private_metadata: string, "
-    "state: struct<values: map<string, map<string, struct<value: string>>>>>"
+    "state: struct<values: map<string, map<string, struct<value: string>>>>>, "
+    "event_id string, event struct<type: string, subtype: string, bot_id: string, user: string, channel: string, "
+    "text: string, ts: string, thread_ts: string>"
 )
 METADATA = "map<string, string>"
 
@@ -77,6 +79,31 @@ def parse_interactions(log: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
+def parse_replies(log: DataFrame, body: str = "body") -> DataFrame:
+    """Replies of people in a thread: ``event_id, user_id, channel_id, message_ts, raw_text``,
+    further columns of the log kept; ``message_ts`` is the message that opened the thread.
+
+    Other events are left out: messages outside threads and those that open one, edits and
+    other subtypes, what bots say, and replies without text.
+    """
+    carried = [c for c in log.columns if c != body]
+    text = F.coalesce(form_value(F.col(body), "payload"), F.col(body))
+    parsed = log.select(*carried, F.from_json(text, PAYLOAD).alias("p")).select(*carried, "p.type", "p.event_id", "p.event")
+    event = F.col("event")
+    is_reply = (
+        (F.col("type") == "event_callback") & (event["type"] == "message") & event["subtype"].isNull() & event["bot_id"].isNull()
+        & (event["thread_ts"] != event["ts"]) & (F.trim(event["text"]) != "")
+    )
+    return parsed.where(is_reply).select(
+        *carried,
+        "event_id",
+        event["user"].alias("user_id"),
+        event["channel"].alias("channel_id"),
+        event["thread_ts"].alias("message_ts"),
+        event["text"].alias("raw_text"),
+    )
+
+
 def review_gate(feedback: DataFrame, catalog: DataFrame) -> DataFrame:
     """Per run: may its day be left?
 

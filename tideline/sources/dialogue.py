@@ -148,3 +148,53 @@ def report_documents(results: DataFrame) -> DataFrame:
         "report_date",
         F.when(wrapped, F.concat(F.lit("["), body, F.lit("]"))).otherwise(body).alias("body"),
     )
+
+
+def thread_log(world: World) -> DataFrame:
+    """Every conversation as a thread below a posted report: ``body, received_at``.
+
+    User turns reply, assistant turns are what a bot says, system turns open a thread of their own.
+    Every seventh conversation's events come twice.
+    """
+    run, turn, role = F.col("conv_id"), F.col("turn"), F.col("role")
+    channel = F.concat(F.lit("C"), (run % 3).cast("string"))
+    root, own = F.concat(run.cast("string"), F.lit(".0")), F.concat_ws(".", run, turn + 1)
+    event = F.struct(
+        F.lit("message").alias("type"),
+        F.when(role == "assistant", "B1").alias("bot_id"),
+        F.concat(F.lit("U"), (run % 7).cast("string")).alias("user"),
+        channel.alias("channel"),
+        F.col("text"),
+        F.when(role == "system", root).otherwise(own).alias("ts"),
+        root.alias("thread_ts"),
+    )
+    body = F.to_json(F.struct(F.lit("event_callback").alias("type"), F.concat_ws("-", F.lit("Ev"), run, turn).alias("event_id"), event.alias("event")))
+    day = F.date_add(F.lit(date(2024, 1, 1)), (run % 30).cast("int")).cast("timestamp_ntz")
+    log = world.table("conversations").select(
+        body.alias("body"), (day + F.make_dt_interval(F.lit(0), F.lit(0), turn.cast("int"), F.lit(0))).alias("received_at"), (run % 7 == 0).alias("retried")
+    )
+    later = F.make_dt_interval(F.lit(40), F.lit(0), F.lit(0), F.lit(0))
+    return log.unionByName(log.where("retried").withColumn("received_at", F.col("received_at") + later)).drop("retried")
+
+
+def posted_reports(world: World) -> DataFrame:
+    """The message of each conversation's report; every tenth was never posted."""
+    run = F.col("conv_id")
+    posted = world.table("conversations").where(run % 10 != 9).select("conv_id").distinct()
+    return posted.select(F.concat(F.lit("C"), (run % 3).cast("string")).alias("channel_id"), F.concat(run.cast("string"), F.lit(".0")).alias("message_ts"), run.cast("string").alias("run_id"))
+
+
+def review_log(world: World) -> DataFrame:
+    """Up to six review events of each correction, out of order, some illegal, every fourth sent twice."""
+    item = F.col("id")
+    corrections = world["agent_feedback"].where("feedback_type = 'correction'")
+    each = corrections.select(item.alias("feedback_id"), "run_id", F.explode(F.sequence(F.lit(0), (item % 7).cast("int") - 1 + (item % 7 == 0).cast("int"))).alias("j"))
+    each = each.where(F.col("feedback_id") % 7 > 0)
+    number, j = F.col("feedback_id"), F.col("j")
+    action = F.element_at(F.array(*map(F.lit, ("draft", "approve", "reject", "reopen"))), ((number + j * j) % 4 + 1).cast("int"))
+    minutes = F.make_dt_interval(F.lit(0), F.lit(0), ((j * 37 + number) % 50).cast("int"), F.lit(0))
+    log = each.select(
+        "feedback_id", (number * 100 + j).alias("event_id"), (F.lit(date(2024, 2, 1)).cast("timestamp_ntz") + minutes).alias("at"), action.alias("action"),
+        (F.col("run_id") + j).alias("guideline_id"),
+    )
+    return log.unionByName(log.where(F.col("event_id") % 4 == 0))

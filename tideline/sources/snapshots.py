@@ -8,11 +8,12 @@ from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions.text import cell_text
 from tideline.operators.levels import latest_per_key
+from tideline.operators.ordered import numbered, release
 from tideline.sources import manifests
 
 CELLS = (
@@ -44,34 +45,13 @@ def guard_rows(df: DataFrame, max_rows: int) -> DataFrame:
 def placed_rows(df: DataFrame, order: Iterable, report_date=None) -> DataFrame:
     """The rows with ``_report``, their report date, and ``_no``, their number in it by ``order``.
 
-    No task orders a whole day: rows are dealt by ranges of the order and sorted there, and what
-    stands before a range is a sum over counts, one for each range and day that meet. The dealt
-    rows are cached, so that counts and rows speak of the same ranges; see ``release``.
+    No task orders a whole day; the rows stay cached until ``release``.
     """
     if "run_date" in df.columns:
         dated = df.withColumn("_report", F.date_sub("run_date", 1))
     else:
         dated = df.withColumn("_report", F.lit(report_date).cast("date"))
-    by = [F.col("_report"), *order]
-    dealt = dated.repartitionByRange(*by).sortWithinPartitions(*by)
-    dealt = dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)).persist()
-    earlier = Window.partitionBy("_report").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = (
-        dealt.groupBy("_report", "_part")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .select(F.col("_report").alias("_day"), F.col("_part").alias("_range"), "_first", "_before")
-    )
-    met = dealt.join(counts, F.col("_report").eqNullSafe(F.col("_day")) & (F.col("_part") == F.col("_range")))
-    placed = met.withColumn("_no", (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("int"))
-    placed = placed.drop("_at", "_part", "_day", "_range", "_first", "_before")
-    placed.dealt = dealt
-    return placed
-
-
-def release(placed: DataFrame) -> None:
-    """Let go of what ``placed_rows`` cached."""
-    placed.dealt.unpersist()
+    return numbered(dated, ["_report"], order)
 
 
 def to_cells(df: DataFrame, query: str, order: Iterable, report_date=None) -> DataFrame:
@@ -94,7 +74,7 @@ def to_cells(df: DataFrame, query: str, order: Iterable, report_date=None) -> Da
     return placed.select(
         F.col("_report").alias("report_date"),
         F.lit(query).alias("query"),
-        F.col("_no").alias("row_no"),
+        F.col("_no").cast("int").alias("row_no"),
         F.inline(cells),
         metric.alias("row_metric"),
         F.lit(None).cast("string").alias("error"),
