@@ -13,6 +13,7 @@ from tideline.operators.feedback import feedback_summary, parse_interactions, re
 from tideline.operators.knowledge import (
     active_guidelines, budgeted_selection, normalise_rules, resolve_labels, seed_if_empty,
 )
+from tideline.operators.ordered import release
 from tideline.sources.snapshots import CELLS
 
 
@@ -125,10 +126,21 @@ def test_budget_accounts_for_every_item(spark):
     assert budgeted_selection(items, "text", ["id", "product"], max_items=12, max_bytes=8000, max_chars=240).where("status = 'kept'").count() == 12
 
 
-def test_item_limit_applies_before_the_shuffle(spark):
-    items = spark.createDataFrame([("p", 1, "x")], "product string, id int, text string")
+def test_no_task_ranks_a_whole_group(spark):
+    items = spark.range(4000).select(F.lit("p").alias("product"), F.col("id").cast("int"), F.lit("x").alias("text"))
     judged = budgeted_selection(items, "text", ["id"], ["product"], max_items=12, max_bytes=8000, max_chars=240)
-    assert judged._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(product" in plan and "SinglePartition" not in plan
+    assert judged.where("status = 'over items'").count() == 3988 and judged.where("status = 'kept'").count() == 12
+    release(judged)
+
+
+def test_repeated_items_are_each_counted_once(spark):
+    items = spark.createDataFrame([(1, "a", None), (1, "a", None), (1, "a", None), (2, "b", None), (3, "c\nd", "x")], "id int, text string, product string")
+    judged = budgeted_selection(items, "text", ["id"], ["product"], max_items=3, max_bytes=2, max_chars=9)
+    assert rows(judged, "id", "position", "bytes_so_far", "status") == [
+        (1, 1, 1, "kept"), (1, 2, 2, "kept"), (1, 3, 3, "over bytes"), (2, None, None, "over items"), (3, None, None, "several lines")
+    ]
 
 
 def test_labels(spark):

@@ -1,6 +1,7 @@
 """Rolling actives, lifecycle, revenue and levels, against brute force and by edge case."""
 
 import random
+import struct
 from datetime import timedelta
 from decimal import Decimal
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import day, rows
 from tideline.operators.actives import rolling_distinct, trailing_sums
-from tideline.operators.aggregates import daily_distinct, exact_percentiles, merge_user_days
+from tideline.operators.aggregates import daily_distinct, exact_percentiles, merge_user_days, order_key
 from tideline.operators.economy import ratio_of_sums, sold_per_day
 from tideline.operators.levels import asof_level, latest_per_key, period_to_date_level
 from tideline.operators.lifecycle import lifecycle_counts, lifecycle_events
@@ -223,7 +224,30 @@ def test_percentiles_scan_and_fold_once(spark, tmp_path):
     got = exact_percentiles(spark.read.parquet(path), ["k"], "v", [0.5])
     got.collect()
     final = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert final.count("FileScan") == 1 and final.count("ReusedExchange") == 1
+    assert final.count("FileScan") == 1 and final.count("ReusedExchange") >= 1
+
+
+def test_percentiles_of_odd_and_crowded_values(spark):
+    nan, inf = float("nan"), float("inf")
+    crowd = [1000 + k * 1e-5 for k in range(100_000)]  # all within a thousandth
+    data = [("crowd", v) for v in crowd] + [("odd", v) for v in (nan, inf, -inf, 5e-324, -5e-324, 0.0, -0.0, 1e308, nan)] + [("nan", nan), (None, 1.0)]
+    got = {(k, p): v for k, p, v in rows(exact_percentiles(spark.createDataFrame(data, "k string, v double"), ["k"], "v", [0.0, 0.25, 0.5, 0.999, 1.0]))}
+    for p in (0.0, 0.25, 0.5, 0.999, 1.0):
+        assert got["crowd", p] == pytest.approx(float(np.percentile(crowd, p * 100)), abs=1e-9)
+    # In order: -inf, -5e-324, 0, 0, 5e-324, 1e308, inf, nan, nan
+    assert [got["odd", p] for p in (0.0, 0.25, 0.5)] == [-inf, 0.0, 5e-324]
+    assert np.isnan(got["odd", 1.0]) and np.isnan(got["nan", 0.5]) and len(got) == 15
+
+
+def test_order_keys_are_in_the_order_of_the_doubles(spark):
+    rng = random.Random(5)
+    values = [struct.unpack("<d", struct.pack("<Q", rng.getrandbits(64)))[0] for _ in range(2000)]
+    for e in range(-1074, 1024, 7):
+        values += [2.0**e, -(2.0**e), np.nextafter(2.0**e, 0).item(), np.nextafter(2.0**e, np.inf).item()]
+    values = [v for v in values if v == v]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", order_key(F.col("v")).alias("k")).collect()
+    assert [r["v"] for r in sorted(got, key=lambda r: r["k"])] == sorted(values)
+    assert len({r["k"] for r in got}) == len(set(values))
 
 
 def test_distinct_counts_ignore_missing_users_and_count_once(spark):

@@ -59,82 +59,100 @@ def hours(seconds: Column) -> Column:
     return round_ratio(seconds, F.lit(3600), 2)
 
 
+#: Bits that each round of the percentiles adds to a prefix of the 64-bit order of doubles.
+ROUNDS = (20, 22, 22)
+
+
+def order_key(value: Column) -> Column:
+    """A long in the order of the doubles, no two of them alike; NaN is the greatest.
+
+    These are the bits of the number, a sign for itself: powers of two are exact, and so are quotients by them.
+    """
+    size = F.abs(value)
+    guess = F.floor(F.log2(size))
+    power = guess + (size >= F.pow(F.lit(2.0), guess + 1)).cast("int") - (size < F.pow(F.lit(2.0), guess)).cast("int")
+    normal = F.shiftleft((power + 1023).cast("bigint"), 52) + ((size / F.pow(F.lit(2.0), power) - 1) * float(1 << 52)).cast("bigint")
+    bits = (
+        F.when(size.isNull() | (size == 0), F.lit(0))
+        .when(F.isnan(size), F.lit((2047 << 52) + 1))
+        .when(size == float("inf"), F.lit(2047 << 52))
+        .when(size < 2.0**-1022, (size / 2.0**-1074).cast("bigint"))
+        .otherwise(normal)
+    )
+    # Plainly never NULL: no join on it adds a filter, which would tell apart what reads the same rows.
+    return F.coalesce(F.when(value < 0, -bits).otherwise(bits), F.lit(0))
+
+
 def exact_percentiles(
     df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float]
 ) -> DataFrame:
     """Continuous percentiles (linear interpolation) as rows ``keys, fraction, percentile``.
 
-    Rows without a key or value do not take part.
+    Rows without a key or value do not take part. NaN is greater than any number.
 
-    Never holds a whole group in one task, whatever its share of the rows:
+    A radix selection, which never holds a group in one task, wherever its values lie:
 
     1. equal values fold into (value, count) rows, combined map-side;
-    2. values fall into logarithmic bands of 0.1 % width, counted per group. A group has
-       a few ten thousand bands at most, so running totals over them stay small;
-    3. only the bands holding a wanted rank are ranked value by value.
+    2. counts fold to the first bits of the values' order; running totals over them find under which
+       prefixes the wanted ranks lie;
+    3. only values under those go on: they fold to the next bits, and in the end to themselves. A
+       window holds the bits under one prefix, 2^22 rows at most. As a prefix may have most of the rows,
+       what meets it is salted, one salt for each shuffle partition of the session.
     """
     keys = list(keys)
-    counted = (
+    rows = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_band", (F.signum("_v") * F.floor(F.log1p(F.abs("_v")) * 1000.0)).cast("bigint"))
-        # What the join below implies anyway; said here, both its sides share one shuffle.
-        .where(F.col("_band").isNotNull())
-    )
-    group = Window.partitionBy(*keys)
-    ranks = F.array(*[F.lit(float(p)) for p in fractions])
-    bands = (
-        counted.groupBy(*keys, "_band")
-        .agg(F.sum("_n").alias("_in_band"))
-        .withColumn("_total", F.sum("_in_band").over(group))
-        .withColumn(
-            "_before",
-            F.sum("_in_band").over(
-                group.orderBy("_band").rowsBetween(Window.unboundedPreceding, 0)
-            )
-            - F.col("_in_band"),
-        )
-        .select(
-            *keys,
-            "_band",
-            "_before",
-            "_in_band",
-            F.explode(ranks).alias("fraction"),
-            (F.col("fraction") * (F.col("_total") - 1)).alias("_pos"),
-        )
-        .withColumns(
-            {"_lo": F.floor("_pos").cast("bigint"), "_hi": F.ceil("_pos").cast("bigint")}
-        )
-        .where(
-            (F.col("_hi") >= F.col("_before"))
-            & (F.col("_lo") < F.col("_before") + F.col("_in_band"))
-        )
-        .groupBy(*keys, "_band", "_before")
-        .agg(F.collect_list(F.struct("fraction", "_pos", "_lo", "_hi")).alias("_wanted"))
     )
-    in_band = Window.partitionBy(*keys, "_band").orderBy("_v")
-    ranked = (
-        counted.join(bands, [*keys, "_band"])
-        .withColumn(
-            "_end",
-            F.col("_before") + F.sum("_n").over(in_band.rowsBetween(Window.unboundedPreceding, 0)),
-        )
-        .withColumn("_start", F.col("_end") - F.col("_n"))
-        .select(*keys, "_v", "_start", "_end", F.inline("_wanted"))
+    for key in keys:
+        rows = rows.where(F.col(key).isNotNull())
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    low, middle = sum(ROUNDS[1:]), ROUNDS[2]
+    rows = rows.withColumn("_p", order_key(F.col("_v"))).withColumns(
+        {"_high": F.shiftright("_p", low), "_mid": F.shiftright("_p", middle), "_salt": F.coalesce(F.pmod(F.xxhash64("_v"), F.lit(salts)).cast("int"), F.lit(0))}
     )
 
-    def at(rank: str) -> Column:
-        inside = (F.col(rank) >= F.col("_start")) & (F.col(rank) < F.col("_end"))
-        return F.max(F.when(inside, F.col("_v")))
-
-    low, high = at("_lo"), at("_hi")
+    def wanted(ranked: DataFrame) -> DataFrame:
+        """Of rows with their ranks those that take a wanted one, with the ranks that they take."""
+        inside = F.filter("_wanted", lambda w: (w["_rank"] >= F.col("_start")) & (w["_rank"] < F.col("_end")))
+        return ranked.withColumn("_wanted", inside).where(F.size("_wanted") > 0)
+
+    def prefixes(ranked: DataFrame) -> DataFrame:
+        return wanted(ranked).select(*keys, F.col("_p").alias("_up"), F.col("_start").alias("_before"), "_wanted")
+
+    def salted(some: DataFrame) -> DataFrame:
+        return some.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+    # The first bits.
+    total = F.sum("_n").over(Window.partitionBy(*keys))
+    first = rows.groupBy(*keys, F.col("_high").alias("_p")).agg(F.sum("_n").alias("_n"))
+    first = first.withColumns({"_up": F.lit(0).cast("bigint"), "_before": F.lit(0).cast("bigint"), "_total": total})
+    place = F.array(*[F.struct(F.lit(float(p)).alias("fraction"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("_pos")) for p in fractions])
+    ends = F.flatten(F.transform(place, lambda w: F.transform(
+        F.array_distinct(F.array(F.floor(w["_pos"]), F.ceil(w["_pos"]))),
+        lambda r: F.struct(w["fraction"].alias("fraction"), w["_pos"].alias("_pos"), r.alias("_rank")),
+    )))
+    early = prefixes(_with_ranks(first.withColumn("_wanted", ends), keys))
+    # The next bits, of values under a wanted prefix.
+    near = rows.withColumn("_up", F.col("_high")).join(salted(early.select(*keys, "_up")), [*keys, "_up", "_salt"], "left_semi")
+    second = near.groupBy(*keys, "_up", F.col("_mid").alias("_p")).agg(F.sum("_n").alias("_n")).join(early, [*keys, "_up"])
+    # The values themselves.
+    late = salted(prefixes(_with_ranks(second, keys)))
+    near = near.withColumn("_up", F.col("_mid")).join(late, [*keys, "_up", "_salt"])
+    found = wanted(_with_ranks(near, keys)).select(*keys, "_v", F.inline("_wanted"))
+    below, above = (F.max(F.when(F.col("_rank") == end("_pos"), F.col("_v"))) for end in (F.floor, F.ceil))
+    weight = F.col("_pos") - F.floor("_pos")
+    same = F.when((F.col("_w") == 0) | (F.col("_low") == F.col("_high")), F.col("_low"))
     return (
-        ranked.groupBy(*keys, "fraction")
-        .agg(low.alias("_low"), high.alias("_high"), F.max(F.col("_pos") - F.col("_lo")).alias("_w"))
-        .select(
-            *keys,
-            "fraction",
-            (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_w")).alias("percentile"),
-        )
+        found.groupBy(*keys, "fraction")
+        .agg(below.alias("_low"), above.alias("_high"), F.max(weight).alias("_w"))
+        .select(*keys, "fraction", same.otherwise(F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_w")).alias("percentile"))
     )
+
+
+def _with_ranks(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Ranks ``_start`` to ``_end`` (exclusive) that each row takes in its group, ``_before`` those ahead of its prefix."""
+    so_far = Window.partitionBy(*keys, "_up").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.withColumn("_end", F.col("_before") + F.sum("_n").over(so_far))
+    return ends.withColumn("_start", F.col("_end") - F.col("_n"))

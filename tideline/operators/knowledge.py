@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.ordered import numbered
+
 from tideline.functions.text import metric_label, trim_space
 
 # The known categories, the one an unknown category falls back to, the
@@ -56,28 +58,24 @@ def budgeted_selection(
     both budgets, else why it is left out (``too long``, ``several lines``, ``over items``,
     ``over bytes``); ``position`` and ``bytes_so_far`` for the first ``max_items`` eligible ones.
 
-    ``order`` tells the items of a group apart. Ranking keeps ``max_items`` per group: Spark
-    applies that limit before the shuffle, so a group never arrives whole. The byte total runs
-    over those few, which then meet all items by group and order.
+    Each row is one item, also where ``order`` ties or rows repeat; among ties the order is open.
+    Items are numbered by ranges (``ordered.numbered``, whose ``release`` takes the result too), so that
+    no task holds a group; byte totals run over the first ``max_items`` of each group.
     """
-    keys = list(group) or [F.lit(0)]
     several = F.contains(F.col(text), F.lit("\n"))
     why = F.when(F.length(text) > max_chars, "too long").when(several, "several lines")
-    ranking = Window.partitionBy(*keys).orderBy(*order)
-    so_far = ranking.rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        items.where(why.isNull())
-        .withColumn("position", F.row_number().over(ranking))
-        .where(F.col("position") <= max_items)
-        .withColumn("bytes_so_far", F.sum(F.octet_length(text)).over(so_far))
-    )
-    own = list(dict.fromkeys([*group, *order]))
-    marks = ranked.select(*[F.col(c).alias(f"_{c}") for c in own], "position", "bytes_so_far")
-    met = items.join(marks, [items[c].eqNullSafe(marks[f"_{c}"]) for c in own], "left")
-    late = F.when(F.col("position").isNull(), "over items").when(F.col("bytes_so_far") > max_bytes, "over bytes")
-    return met.select(
-        *items.columns, "position", "bytes_so_far", F.coalesce(why, late, F.lit("kept")).alias("status")
+    placed = numbered(items.withColumn("_why", why).withColumn("_fits", F.col("_why").isNull()), [*group, "_fits"], [F.col(c) for c in order])
+    early = F.col("_fits") & (F.col("_no") <= max_items)
+    by_group = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    so_far = by_group.orderBy("_no").rowsBetween(Window.unboundedPreceding, 0)
+    first = placed.where(early).withColumn("bytes_so_far", F.sum(F.octet_length(text)).over(so_far))
+    first = first.select(*items.columns, F.col("_no").cast("int").alias("position"), "bytes_so_far", F.when(F.col("bytes_so_far") > max_bytes, "over bytes").otherwise("kept").alias("status"))
+    rest = placed.where(~early).select(
+        *items.columns, F.lit(None).cast("int").alias("position"), F.lit(None).cast("bigint").alias("bytes_so_far"), F.coalesce("_why", F.lit("over items")).alias("status")
     )
+    judged = first.unionByName(rest)
+    judged.dealt = placed.dealt
+    return judged
 
 
 def resolve_labels(catalog: DataFrame) -> DataFrame:
