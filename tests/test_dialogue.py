@@ -130,7 +130,7 @@ def test_no_task_ranks_a_whole_group(spark):
     items = spark.range(4000).select(F.lit("p").alias("product"), F.col("id").cast("int"), F.lit("x").alias("text"))
     judged = budgeted_selection(items, "text", ["id"], ["product"], max_items=12, max_bytes=8000, max_chars=240)
     plan = judged._jdf.queryExecution().executedPlan().toString()
-    assert "rangepartitioning(product" in plan and "SinglePartition" not in plan
+    assert "rangepartitioning(" in plan and "WindowGroupLimit" not in plan
     assert judged.where("status = 'over items'").count() == 3988 and judged.where("status = 'kept'").count() == 12
     release(judged)
 
