@@ -145,7 +145,10 @@ def _forest(nodes: DataFrame, count: int, degree: int) -> DataFrame:
             yield chunk()
 
     parts = max(1, count * TREES // (2 * CHUNK))
-    ordered = nodes.mapInArrow(codes, "t int, code long, id long, q binary").repartitionByRange(parts, "t", "code", "id").sortWithinPartitions("t", "code", "id")
+    # Ties go by a hash of their own in each tree: nodes that share their codes meet others in each.
+    coded = nodes.mapInArrow(codes, "t int, code long, id long, q binary").withColumn("tie", F.xxhash64("t", "id"))
+    by = ["t", "code", "tie", "id"]
+    ordered = coded.repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("tie")
     return ordered.mapInArrow(compare, LISTS)
 
 
@@ -244,7 +247,9 @@ def build(nodes: DataFrame, degree: int = DEGREE, settled: float = SETTLED) -> D
 
 STATE = "id long, q binary, ids binary, scores binary, fresh binary"
 STATE_SCHEMA = pa.schema([("id", pa.int64()), ("q", pa.binary()), ("ids", pa.binary()), ("scores", pa.binary()), ("fresh", pa.binary())])
-ASKED = pa.schema([("id", pa.int64()), ("q", pa.binary()), ("worst", pa.float32()), ("nodes", pa.binary()), ("b", pa.int32())])
+#: One row for each pair of buckets: query ids, their vectors and worst scores, and of each query so many nodes.
+ASKED = pa.schema([("b", pa.int32()), ("owners", pa.binary()), ("q", pa.binary()), ("worst", pa.binary()), ("sizes", pa.binary()), ("nodes", pa.binary())])
+I4 = np.dtype("<i4")
 
 
 def _spread(ids: np.ndarray, buckets: int) -> np.ndarray:
@@ -290,40 +295,65 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = B
     state = stored(queries.mapInArrow(start, STATE))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What each query wants expanded, by bucket of the node."""
+        """What each query wants expanded, and behind it what its beam holds already, by bucket of the node."""
         for batch in batches:
-            rows = []
-            for qid, q, ids, scores, fresh in zip(*(batch.column(c).to_pylist() for c in ("id", "q", "ids", "scores", "fresh")), strict=True):
-                want = np.frombuffer(ids, I8)[np.frombuffer(fresh, np.uint8) > 0]
-                worst = float(np.frombuffer(scores, F4)[-1]) if len(ids) // 8 >= beam else -np.inf
-                rows += [(qid, q, worst, part, b) for b, part in _parts(want, buckets)]
-            yield _asked(rows)
+            if not batch.num_rows:
+                continue
+            lists = [np.frombuffer(x, I8) for x in batch.column("ids").to_pylist()]
+            fresh = [np.frombuffer(x, np.uint8) > 0 for x in batch.column("fresh").to_pylist()]
+            worst = [np.frombuffer(s, F4)[-1] if len(x) >= beam else -np.inf for s, x in zip(batch.column("scores").to_pylist(), lists, strict=True)]
+            of = np.repeat(np.arange(len(lists)), [int(f.sum()) for f in fresh])
+            nodes = np.concatenate([x[f] for x, f in zip(lists, fresh, strict=True)])
+            for b, rows, sizes, part in _pairs_of(of, nodes, buckets):
+                held = np.array([len(lists[i]) for i in rows], I4)
+                beams = np.concatenate([lists[i] for i in rows])
+                packed = _asked(batch.column("id").to_numpy()[rows], _bytes_of(batch.column("q"))[rows], np.array(worst, F4)[rows], np.r_[sizes, held], np.r_[part, beams])
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((b, *packed), ASKED, strict=True)], schema=ASKED)
 
     def expand(asked: pa.Table, adjacent: pa.Table) -> pa.Table:
-        """The neighbours of the wanted nodes, by their own buckets."""
+        """The neighbours of the wanted nodes that no beam holds, by their own buckets."""
         by = dict(zip(adjacent["id"].to_pylist(), adjacent["ids"].to_pylist(), strict=True))
-        rows = []
-        for qid, q, worst, want in zip(*(asked[c].to_pylist() for c in ("id", "q", "worst", "nodes")), strict=True):
-            near = np.unique(np.frombuffer(b"".join(by.get(i, b"") for i in np.frombuffer(want, I8).tolist()), I8))
-            rows += [(qid, q, worst, part, b) for b, part in _parts(near, buckets)]
-        return pa.Table.from_batches([_asked(rows)])
+        owners, vectors, worst, found = [], [], [], []
+        for row in asked.to_pylist():
+            own, q, bad = _said(row)
+            sizes = np.frombuffer(row["sizes"], I4)
+            lists = np.split(np.frombuffer(row["nodes"], I8), np.cumsum(sizes)[:-1])
+            for want, beams in zip(lists[: len(own)], lists[len(own) :], strict=True):
+                near = np.frombuffer(b"".join([by.get(i, b"") for i in want.tolist()]), I8)
+                found.append(np.setdiff1d(near, beams))
+            owners.append(own)
+            vectors.append(q)
+            worst.append(bad)
+        if not owners:
+            return pa.Table.from_batches([], ASKED)
+        own, q, bad = np.concatenate(owners), np.concatenate(vectors), np.concatenate(worst)
+        of = np.repeat(np.arange(len(own)), [len(f) for f in found])
+        rows = [(b, *_asked(own[k], q[k], bad[k], sizes, part)) for b, k, sizes, part in _pairs_of(of, np.concatenate(found), buckets)]
+        return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(ASKED)], schema=ASKED)
 
     def score(asked: pa.Table, held: pa.Table) -> pa.Table:
         """Scores of the nodes that may still enter a query's beam."""
-        ids, x = held["id"].to_numpy(), _matrix(held["q"]) if held.num_rows else None
+        said = [_said(row) for row in asked.to_pylist()]
+        if not said:
+            return pa.Table.from_batches([], LIST_SCHEMA)
+        ids, x = held["id"].to_numpy(), _matrix(held["q"])
         order = np.argsort(ids)
-        asked = asked.sort_by("id")
-        qs = asked["id"].to_numpy()
+        own, q, worst = (np.concatenate(p) for p in zip(*said, strict=True))
+        sizes = np.concatenate([np.frombuffer(r, I4) for r in asked["sizes"].to_pylist()])
+        nodes = np.concatenate([np.frombuffer(r, I8) for r in asked["nodes"].to_pylist()])
+        at = order[np.searchsorted(ids, nodes, sorter=order)]
+        by_query = np.lexsort((at, np.repeat(own, sizes)))
+        owner, at = np.repeat(own, sizes)[by_query], at[by_query]
+        once = np.r_[True, (owner[1:] != owner[:-1]) | (at[1:] != at[:-1])] if len(owner) else np.zeros(0, bool)
+        owner, at = owner[once], at[once]
+        queries, first = np.unique(own, return_index=True)
+        vector, least = _matrix(pa.array([v.tobytes() for v in q[first]], pa.binary())), worst[first]
+        begin = np.searchsorted(owner, queries)
         made = []
-        first = np.flatnonzero(np.r_[True, qs[1:] != qs[:-1]]) if len(qs) else []
-        packed, worst, vector = asked["nodes"].to_pylist(), asked["worst"].to_numpy(), asked["q"]
-        for a, b in zip(first, np.r_[first[1:], len(qs)] if len(qs) else [], strict=True):
-            near = np.unique(np.frombuffer(b"".join(packed[a:b]), I8))
-            s = x[order[np.searchsorted(ids, near, sorter=order)]] @ _matrix(vector.slice(a, 1))[0]
-            ok = s > worst[a]
-            made.append((np.full(ok.sum(), qs[a]), near[ok], s[ok]))
-        if not made:
-            return pa.Table.from_batches([], LIST_SCHEMA)
+        for k, (a, b) in enumerate(zip(begin, np.r_[begin[1:], len(owner)], strict=True)):
+            s = x[at[a:b]] @ vector[k]
+            ok = s > least[k]
+            made.append((owner[a:b][ok], ids[at[a:b][ok]], s[ok]))
         owner, near, s = map(np.concatenate, zip(*made, strict=True))
         return pa.Table.from_batches([_lists(owner, near, s, np.ones(len(owner), np.uint8), beam)])
 
@@ -335,7 +365,7 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = B
         vector = dict(zip(now["id"].to_pylist(), now["q"].to_pylist(), strict=True))
         return lists.append_column("q", pa.array([vector[i] for i in lists["id"].to_pylist()], pa.binary())).select(STATE_SCHEMA.names)
 
-    asked_type = "id long, q binary, worst float, nodes binary, b int"
+    asked_type = "b int, owners binary, q binary, worst binary, sizes binary, nodes binary"
     q_buckets = max(1, buckets // 4)
     by_query = lambda df: df.withColumn("b", _bucket("id", q_buckets)).groupBy("b")
     while True:
@@ -347,15 +377,30 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = B
             return state.select("id", "ids", "scores", "fresh")
 
 
-def _parts(ids: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
-    b = _spread(ids, buckets)
-    order = np.argsort(b, kind="stable")
-    found, first = np.unique(b[order], return_index=True)
-    return [(int(k), part.tobytes()) for k, part in zip(found, np.split(ids[order], first[1:]), strict=True)] if len(ids) else []
+def _pairs_of(of: np.ndarray, nodes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each bucket of the nodes: whose they are, how many of each owner, and the nodes in that order."""
+    b = _spread(nodes, buckets)
+    order = np.lexsort((of, b))
+    b, of, nodes = b[order], of[order], nodes[order]
+    found, first = np.unique(b, return_index=True)
+    for k, start, stop in zip(found.tolist(), first, np.r_[first[1:], len(b)], strict=True):
+        rows, sizes = np.unique(of[start:stop], return_counts=True)
+        yield k, rows, sizes.astype(I4), nodes[start:stop]
+
+
+def _bytes_of(column) -> np.ndarray:
+    """Packed vectors as rows of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _asked(own: np.ndarray, q: np.ndarray, worst: np.ndarray, sizes: np.ndarray, nodes: np.ndarray) -> tuple[bytes, ...]:
+    return own.astype(I8).tobytes(), q.tobytes(), worst.astype(F4).tobytes(), sizes.astype(I4).tobytes(), nodes.astype(I8).tobytes()
 
 
-def _asked(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(ASKED)], schema=ASKED)
+def _said(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query ids of a row, their packed vectors and worst scores."""
+    own = np.frombuffer(row["owners"], I8)
+    return own, np.frombuffer(row["q"], np.uint8).reshape(len(own), -1), np.frombuffer(row["worst"], F4)
 
 
 def nearest(
