@@ -379,6 +379,8 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = B
 
 def _pairs_of(of: np.ndarray, nodes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each bucket of the nodes: whose they are, how many of each owner, and the nodes in that order."""
+    if not len(nodes):
+        return
     b = _spread(nodes, buckets)
     order = np.lexsort((of, b))
     b, of, nodes = b[order], of[order], nodes[order]
