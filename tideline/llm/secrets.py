@@ -212,7 +212,9 @@ def _scanned(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 
 def thresholds(scanned: DataFrame) -> dict[int, int]:
     """For each length band the least bin that counts as found, by Benjamini and Hochberg."""
-    bins = scanned.select(F.explode("tested").alias("t")).groupBy(F.col("t.band").alias("band"), F.col("t.bin").alias("bin")).agg(F.count("*").alias("n"))
+    # An inner explode would have the optimizer ask for non-empty arrays at the scan, and spell the whole test out twice.
+    each = scanned.select(F.explode_outer("tested").alias("t")).where("t is not null")
+    bins = each.groupBy(F.col("t.band").alias("band"), F.col("t.bin").alias("bin")).agg(F.count("*").alias("n"))
     counts: dict[int, dict[int, int]] = {}
     for row in bins.collect():  # bands times bins at most
         counts.setdefault(row["band"], {})[row["bin"]] = row["n"]
